@@ -131,21 +131,28 @@ x AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, max(equal_) AS equal_wo
 SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(equal_words, 0)::BIGINT AS equal_words
 FROM documents d LEFT JOIN x USING (doc_id)""",
     "op9_sharding": r"""
-WITH RECURSIVE bit(v, k) AS (SELECT range, 0 FROM range(256) UNION ALL
-  SELECT CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bit WHERE k < 8),
-tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT r.range AS i, list_reduce(list_prepend(r.range, range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) r)),
-big AS (SELECT coalesce(max(strlen(text)), 0) AS n FROM documents),
--- a byte's single bit, and the register's first value, after d more bytes
-far(d, a) AS (SELECT 0, list_append(list_transform(range(8), lambda b: t[(1 << b)::INTEGER + 1]), 4294967295) FROM tab
-  UNION ALL SELECT d + 1, list_transform(a, lambda s: xor(s >> 8, t[(s & 255)::INTEGER + 1])) FROM far, tab WHERE d < (SELECT n FROM big)),
-x AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
-y AS (SELECT r, hex(encode(text)) AS h, strlen(text) AS n, unnest(range(0, strlen(text))) AS i FROM x),
-z AS (SELECT r, n - 1 - i AS d, ('0x' || substr(h, 2 * i + 1, 2))::INTEGER AS v FROM y),
-c AS (SELECT r, bit_xor(xor(xor(xor(CASE WHEN v & 1 > 0 THEN a[1] ELSE 0 END, CASE WHEN v & 2 > 0 THEN a[2] ELSE 0 END), xor(CASE WHEN v & 4 > 0 THEN a[3] ELSE 0 END, CASE WHEN v & 8 > 0 THEN a[4] ELSE 0 END)),
-  xor(xor(CASE WHEN v & 16 > 0 THEN a[5] ELSE 0 END, CASE WHEN v & 32 > 0 THEN a[6] ELSE 0 END), xor(CASE WHEN v & 64 > 0 THEN a[7] ELSE 0 END, CASE WHEN v & 128 > 0 THEN a[8] ELSE 0 END)))) AS c
-  FROM z JOIN far USING (d) GROUP BY r),
-k AS (SELECT doc_id, source, strlen(text)::BIGINT + 8 AS size, xor(xor(coalesce(c, 0), f.a[9]), 4294967295)::BIGINT AS text_crc32, md5('shard:' || coalesce(doc_id::VARCHAR, '-')) AS key
-  FROM x LEFT JOIN c USING (r) JOIN far f ON f.d = strlen(text)),
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT r.range AS i,
+  list_reduce(list_prepend(r.range, range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) r)),
+-- CRC-32 is linear: what a byte's bits, the register's first value and each of its bits become after d more zero bytes
+far(d, a) AS (SELECT 0, list_concat(list_transform(range(8), lambda b: t[(1 << b)::INTEGER + 1]), [4294967295], list_transform(range(32), lambda b: (1::BIGINT << b)::BIGINT)) FROM tab
+  UNION ALL SELECT d + 1, list_transform(a, lambda s: xor(s >> 8, t[(s & 255)::INTEGER + 1])) FROM far, tab WHERE d < 256),
+hop AS (SELECT a[10:41] AS c FROM far WHERE d = 256),
+-- the register's bits after q more blocks of 256 bytes
+pow(q, m) AS (SELECT 0, a[10:41] FROM far WHERE d = 0
+  UNION ALL SELECT q + 1, list_transform(m, lambda s: list_reduce(list_transform(range(32), lambda j: CASE WHEN (s >> j) & 1 = 1 THEN c[j + 1] ELSE 0 END), lambda x, y: xor(x, y)))
+  FROM pow, hop WHERE q < (SELECT coalesce(max(strlen(text)), 0) // 256 FROM documents)),
+x AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+-- blocks of 256 bytes from the end
+p0 AS (SELECT r, hex(encode(text)) AS h, strlen(text) AS n FROM x),
+p1 AS (SELECT r, q, substr(h, greatest(0, 2 * (n - 256 * (q + 1))) + 1, 2 * least(256, n - 256 * q)) AS h, least(256, n - 256 * q) AS m
+  FROM (SELECT *, unnest(range(0, (n + 255) // 256)) AS q FROM p0)),
+z AS (SELECT r, q, m - 1 - i AS d, ('0x' || substr(h, 2 * i + 1, 2))::INTEGER AS v FROM (SELECT *, unnest(range(0, m)) AS i FROM p1)),
+c0 AS (SELECT r, q, bit_xor(xor(xor(xor(CASE WHEN v & 1 > 0 THEN a[1] ELSE 0 END, CASE WHEN v & 2 > 0 THEN a[2] ELSE 0 END), xor(CASE WHEN v & 4 > 0 THEN a[3] ELSE 0 END, CASE WHEN v & 8 > 0 THEN a[4] ELSE 0 END)),
+  xor(xor(CASE WHEN v & 16 > 0 THEN a[5] ELSE 0 END, CASE WHEN v & 32 > 0 THEN a[6] ELSE 0 END), xor(CASE WHEN v & 64 > 0 THEN a[7] ELSE 0 END, CASE WHEN v & 128 > 0 THEN a[8] ELSE 0 END)))) AS s
+  FROM z JOIN far USING (d) GROUP BY r, q
+  UNION ALL SELECT r, strlen(text) // 256, a[9] FROM x JOIN far ON d = strlen(text) % 256),
+c AS (SELECT r, bit_xor(CASE WHEN (s >> j) & 1 = 1 THEN m[j + 1] ELSE 0 END) AS c FROM (SELECT r, s, m, unnest(range(0, 32)) AS j FROM c0 JOIN pow USING (q)) GROUP BY r),
+k AS (SELECT doc_id, source, strlen(text)::BIGINT + 8 AS size, xor(c, 4294967295)::BIGINT AS text_crc32, md5('shard:' || coalesce(doc_id::VARCHAR, '-')) AS key FROM x JOIN c USING (r)),
 o AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size, text_crc32) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS f FROM k),
 p AS (SELECT *, row_number() OVER (ORDER BY f, key, source NULLS FIRST, doc_id NULLS FIRST, size, text_crc32) - 1 AS pos, count(*) OVER () AS total FROM o)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * 24 // total)::INTEGER AS shard, (pos - ((pos * 24 // total) * total + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard, source FROM p""",
