@@ -66,7 +66,7 @@ _LOOKALIKE = {
     "а": "a", "А": "A", "В": "B", "с": "c", "С": "C", "е": "e", "Е": "E", "Н": "H", "і": "i", "І": "I", "ј": "j", "Ј": "J", "К": "K", "М": "M", "о": "o", "О": "O", "р": "p",
     "Р": "P", "ѕ": "s", "Ѕ": "S", "Т": "T", "х": "x", "Х": "X", "у": "y", "Ү": "Y", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I",
     "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "α": "a", "γ": "y", "ι": "i", "ρ": "p", "ɑ": "a", "ɡ": "g", "ı": "i", "ӏ": "l",
-    "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "‘": "'", "’": "'", "‚": ",", "‛": "'", "′": "'", "“": '"', "”": '"', "″": '"', "․": ".", "‥": "..", "…": "...", "∕": "/", "⁄": "/", "∶": ":", "；": ";",
+    "×": "x", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "‘": "'", "’": "'", "‚": ",", "‛": "'", "′": "'", "“": '"', "”": '"', "″": '"', "․": ".", "‥": "..", "…": "...", "∕": "/", "⁄": "/", "∶": ":", "；": ";",
     "։": ":", "׃": ":", "ǃ": "!", "∣": "|", "ǀ": "|", "∗": "*", "⁎": "*", "‹": "<", "›": ">", "᐀": "=", "﹦": "=", ";": ";", "⸵": ";", "՚": "'", "׳": "'", "״": '"', "‵": "`", "｀": "`", "ˋ": "`",
 }
 

@@ -221,7 +221,7 @@ def map_err_pure_wrap(file, p):
         a = result_args(f.ret)
         error = a[1].compact if a and len(a) > 1 else None
         q = path.qself
-        if path.names[-1] == "from" and q is not None and q.compact == error and re.match(r"<.*as(\w+::)*From<_>>::from$", c.args[0].compact):
+        if path.names[-1] == "from" and q is not None and q.compact == error and re.match(r"<.*as(\w+::)*From<.*>>::from$", c.args[0].compact):
             yield c, "map_err only wraps what `?` converts"
 
 
@@ -265,7 +265,8 @@ def pub_api_generic_nesting(file, p):
         return t.kind == "PathType" and bool(args_of(t)) and t.last_name not in _STD and (len(t.path.names) == 1 or t.path.names[0] in ("crate", "self", "super"))
 
     seen = []
-    for t, _ in public_types(file):
+    aliases = [a.type for a in file.of("TypeAlias") if public(a) and a.type is not None and not in_test(a)]
+    for t in [*(t for t, _ in public_types(file)), *aliases]:
         for x in [t, *t.all("PathType")]:
             if x.kind == "PathType" and local(x) and any(local(a) for a in args_of(x)) and not any(s.first <= x.first and x.last <= s.last for s in seen):
                 seen.append(x)
@@ -299,7 +300,7 @@ def single_item_path(file, p):
             if u.kind == "Use" and public(u) and not in_test(u) and not any(a.name == "doc" and "hidden" in a.compact_body for a in attrs(u)):
                 for path, _, _, leaf in leaves(u.tree):
                     path = path[1:] if path[:1] == ["self"] else path
-                    if path and path[0] in open_ and len(path) + (leaf.star or False) > 1:
+                    if path and path[0] in open_:
                         yield leaf, f"`{'::'.join(path)}` has a second public path"
 
 

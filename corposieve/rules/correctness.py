@@ -101,7 +101,7 @@ def floating_point_eq(file, p):
             e = bare(e)
             if e is not None and e.kind == "PrefixExpr" and e.op == "-":
                 e = bare(e.expr)
-            return e is not None and e.kind == "Literal" and bool(re.match(r"0+(\.0*)?(_?f(32|64))?$", e.value))
+            return e is not None and e.kind == "Literal" and bool(re.match(r"0+(\.0*(_?f(32|64))?|_?f(32|64))$", e.value))
 
         if (floats(b.lhs) or floats(b.rhs)) and not zero(b.lhs) and not zero(b.rhs):
             yield b, "floats are compared exactly"

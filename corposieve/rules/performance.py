@@ -166,14 +166,14 @@ def collection_new_in_loop(file, p):
 
 @ast("rust_default_hasher", "low", "Hash maps of trusted keys take a fast hasher.")
 def default_hasher(file, p):
-    fast = re.compile(r"(?i)fx|ahash|fnv|nohash|xxh|seahash")
+    fast = re.compile(r"(?i)fx|ahash|foldhash|fnv|nohash|xxh|seahash|hasher|buildhash")
     for t in file.of("PathType"):
         n = {"HashMap": 2, "HashSet": 1}.get(t.last_name)
         if n and len(args_of(t)) == n and not fast.search("::".join(t.path.names)) and not in_test(t):
             yield t, f"`{t.last_name}` with the default hasher"
     for c in file.of("CallExpr"):
         path = callee(c)
-        if len(path) >= 2 and path[-2] in ("HashMap", "HashSet") and path[-1] in ("new", "with_capacity") and not fast.search("::".join(path)) and not in_test(c):
+        if len(path) >= 2 and path[-2] in ("HashMap", "HashSet") and path[-1] in ("new", "with_capacity") and not fast.search(c.callee.compact) and not in_test(c):
             yield c, f"`{path[-2]}` with the default hasher"
 
 
@@ -218,7 +218,8 @@ def missing_capacity(file, p):
             if s.kind != "LetStmt" or s.pat.kind != "IdentPat" or not s.pat.mut or s.value is None or in_test(s):
                 continue
             path = callee(bare(s.value)) if bare(s.value).kind == "CallExpr" else []
-            if not (len(path) >= 2 and path[-2] in ("HashMap", "HashSet", "String", "Vec") and path[-1] in ("new", "default")):
+            made = len(path) >= 2 and path[-1] in ("new", "default") and (path[-2] if path[-2] != "Default" else last_of(s.type)) in ("HashMap", "HashSet", "String", "Vec")
+            if not made:
                 continue
             for t in b.stmts[k + 1 :]:
                 loop = t.expr if t.kind == "ExprStmt" else t
@@ -288,7 +289,7 @@ def vec_string_field(file, p):
             continue
         for f in s.fields:
             t = strip(f.type)
-            if f.vis or last_of(t) != "Vec" or not args_of(t) or last_of(args_of(t)[0]) not in ("String", "Vec"):
+            if f.vis == "pub" or last_of(t) != "Vec" or not args_of(t) or last_of(args_of(t)[0]) not in ("String", "Vec"):
                 continue
             if last_of(args_of(t)[0]) == "String" and len(strip(args_of(t)[0]).path.names) > 3:
                 continue

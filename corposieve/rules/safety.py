@@ -94,7 +94,7 @@ def mutex_in_async(file, p):
 
 @ast(
     "rust_sensitive_debug", "high", "Debug output shows no secrets.", allowed_fields=[],
-    markers=["api_key", "authorization", "bearer", "credential", "credentials", "password", "passwd", "private_key", "secret", "signing_key", "token"], redacted_types=["Secret", "SecretBox", "SecretString", "SecretVec", "Sensitive"],
+    markers="token signing_key secret private_key passwd password credentials credential bearer authorization api_key".split(), redacted_types=["Secret", "SecretBox", "SecretString", "SecretVec", "Sensitive"],
 )
 def sensitive_debug(file, p):
     def secret(t):

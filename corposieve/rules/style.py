@@ -69,7 +69,7 @@ def conversion_self_convention(file, p):
         if s is None or s.type is not None or (o is not None and o.kind == "Impl" and o.trait is not None):
             continue
         ty = last_of(o.type) if o is not None and o.kind == "Impl" else ""
-        if re.match(r"(as|to)_", f.name) and not s.is_ref and ty not in copy:
+        if not s.is_ref and (f.name.startswith("as_") or (f.name.startswith("to_") and ty not in copy)):
             yield f, f"`{f.name}` consumes self"
         if f.name.startswith("into_") and s.is_ref:
             yield f, f"`{f.name}` borrows self"
@@ -115,20 +115,19 @@ def getter_prefix(file, p):
                 yield f, f"getter `{f.name}`"
 
 
+def member_rank(i, x) -> int:
+    if x.kind in ("Const", "TypeAlias"):
+        return 0
+    if x.kind == "MacroCall":
+        return 5
+    ctor = x.self_param is None and (x.name in ("new", "default", "try_new") or re.match(r"(new|with|from|try_new)_", x.name)) and returns_self(x, last_of(i.type))
+    return 1 if ctor else 2 if x.vis == "pub" else 3 if x.vis else 4
+
+
 @ast("rust_impl_member_order", "medium", "Members come in order: constants, constructors, public, others.", fixable=True)
 def impl_member_order(file, p):
     for i in file.of("Impl"):
-        if i.trait is not None:
-            continue
-        ranks = []
-        for x in i.items:
-            if x.kind in ("Const", "TypeAlias"):
-                ranks.append(0)
-            elif x.kind == "MacroCall":
-                ranks.append(5)
-            elif x.kind == "Fn":
-                ctor = x.self_param is None and (x.name in ("new", "default") or re.match(r"(new|with|from|try_new)_", x.name) or x.name == "try_new") and returns_self(x, last_of(i.type))
-                ranks.append(1 if ctor else 2 if x.vis == "pub" else 3 if x.vis else 4)
+        ranks = [member_rank(i, x) for x in i.items if x.kind in ("Const", "TypeAlias", "MacroCall", "Fn")] if i.trait is None else []
         if ranks != sorted(ranks):
             yield i, "members are out of order"
 
@@ -181,11 +180,12 @@ def magic_numbers(file, p):
             if e.kind == "MethodCallExpr" and (top is e.receiver or re.match(r"(chunks|windows|step_by|skip|take|nth|pow|powi|split_at|rem_euclid|wrapping_\w+|saturating_\w+|checked_\w+)", name)):
                 continue
             slot = ("call", name, e.args.index(top))
-        elif e.kind in ("LetStmt", "RecordExprField", "ReturnExpr"):
-            slot = (e.kind, e.pat.compact if e.kind == "LetStmt" else e.name or "")
+        elif e.kind in ("LetStmt", "RecordExprField", "ReturnExpr", "ArrayExpr"):
+            slot = (e.kind, e.name or "")
         if slot is None:
             continue
         value = re.sub(r"_?(u8|u16|u32|u64|u128|usize|i8|i16|i32|i64|i128|isize|f32|f64)$", "", n.value).replace("_", "")
+        value = str(int(value, 0)) if re.fullmatch(r"0[xob][0-9a-fA-F]+", value) else value
         value = ("-" if top is not n else "") + value
         if value in p["allowed"]:
             continue
@@ -254,34 +254,27 @@ def padding(file, p):
     want = set(p["boundaries"])
 
     def blank(a, b):
-        return bool(re.search(r"\n[ \t]*\r?\n", file.text[a.end : b.start])) or file.line_at(a.end - 1) == b.line
+        return bool(re.search(r"\n[ \t]*\r?\n", file.text[a.end : b.start]))
 
     def core(s):
-        e = s.expr if s.kind == "ExprStmt" else s
-        return e.expr if e is not None and e.kind in ("TryExpr", "AwaitExpr") and e.expr.kind in _CONTROL else e
+        return s.expr if s.kind == "ExprStmt" else s
 
     if "functions" in want:
-        for scope in [file.root, *file.of("Impl", "Trait", "Module")]:
-            items = scope.items or []
-            for a, b in zip(items, items[1:], strict=False):
-                if (a.kind == "Fn" or b.kind == "Fn") and not blank(a, b) and not (a.kind == "Fn" and b.kind == "Fn" and a.body is None and b.body is None):
-                    yield b, "no blank line beside a function"
+        for f in file.of("Fn"):
+            around = [n for n in f.parent.children if n.kind not in ("Doc", "Attr", "Attrs")]
+            k = around.index(f)
+            if k + 1 < len(around) and around[k + 1].kind == "Fn" and not blank(f, around[k + 1]):
+                yield around[k + 1], "no blank line between functions"
     for block in file.of("StmtList"):
-        stmts = block.stmts
-        for k, (a, b) in enumerate(zip(stmts, stmts[1:], strict=False)):
-            if blank(a, b):
-                continue
+        for a, b in zip(block.stmts, block.stmts[1:], strict=False):
             ea, eb = core(a), core(b)
-            if ea is None or eb is None:
+            if ea is None or eb is None or blank(a, b):
                 continue
-            if "control-flow" in want and ((ea.kind in _CONTROL and a.line != a.end_line) or (eb.kind in _CONTROL and b.line != b.end_line)):
-                yield b, "no blank line beside control flow"
-            elif "let-runs" in want and (a.kind == "LetStmt") != (b.kind == "LetStmt"):
-                yield b, "no blank line beside declarations"
-            elif "returns" in want and eb.kind == "ReturnExpr":
-                yield b, "no blank line before return"
-            elif "tail-expressions" in want and k == len(stmts) - 2 and block.tail is b:
-                yield b, "no blank line before the result"
+            returns = "returns" in want and eb.kind == "ReturnExpr"
+            tail = "tail-expressions" in want and block.tail is b and a.kind == "LetStmt"
+            lets = "let-runs" in want and a.kind == "LetStmt" and b.kind != "LetStmt"
+            if returns or tail or lets or ("control-flow" in want and (ea.kind in _CONTROL or eb.kind in _CONTROL)):
+                yield b, "a blank line is missing"
 
 
 @ast("rust_pub_use_grouping", "low", "Re-exports of one origin come together.", fixable=True)
@@ -379,7 +372,7 @@ def regions(lines, name):
     """Rows below a ``// <name>`` marker, to the blank line or closing bracket after them."""
     for i, line in enumerate(lines):
         t = line.strip()
-        if re.fullmatch(r"//\s*(?:#rw|#)?\[?" + name + r"\]?:?.*", t):
+        if re.fullmatch(r"// #rw:" + name + r"(\((asc|desc)\))?", t):
             rows = []
             for j in range(i + 1, len(lines)):
                 s = lines[j].strip()
@@ -396,13 +389,13 @@ def sort_key(line: str) -> tuple[int, str]:
 
 @rule("rust_sorted", "rust-line", "low", "Marked rows are sorted.", fixable=True)
 def sorted_rows(file, p):
-    for _, rows in regions(file.lines, "sorted"):
-        before = None
+    for at, rows in regions(file.lines, "sorted"):
+        before, down = None, "(desc)" in file.lines[at - 1]
         for i, line in rows:
             if line.strip().startswith("//"):
                 continue
             k = sort_key(line)
-            if before is not None and k < before:
+            if before is not None and (k > before if down else k < before):
                 yield i, "rows aren't sorted"
                 break
             before = k
@@ -442,6 +435,9 @@ def aligned(file, p):
         rows = [(i, line) for i, line in rows if not line.strip().startswith("//")]
         if len(rows) < 2:
             continue
+        for i, line in rows:
+            if line.strip() == "(":
+                yield i, "a tuple row is wrapped"
         cols = [(i, _code_columns(line)) for i, line in rows]
         arrows = [(i, c[0]) for i, c in cols]
         if any(a is not None for _, a in arrows):
