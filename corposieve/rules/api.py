@@ -120,7 +120,7 @@ def ctor_new(file, p):
                 yield s, f"`{s.name}` has no public constructor"
 
 
-_PRIMITIVE = {"bool", "char", "str", "String", "u8", "u16", "u32", "u64", "u128", "usize", "i8", "i16", "i32", "i64", "i128", "isize", "f32", "f64"}
+_PRIMITIVE = frozenset("bool char str String f32 f64 isize usize".split()) | {f"{k}{n}" for k in "iu" for n in (8, 16, 32, 64, 128)}
 
 
 @ast("rust_ctor_param_count", "medium", "Constructors with many parameters need a builder.", threshold=5)
@@ -277,7 +277,7 @@ def pub_api_generic_nesting(file, p):
 def pub_api_smart_pointers(file, p):
     for t, _ in public_types(file):
         name, a = last_of(t), args_of(t)
-        if name in ("Arc", "Box", "Cell", "Mutex", "Rc", "RefCell", "RwLock"):
+        if name in "Rc Arc Box Cell RefCell Mutex RwLock".split():
             inner = strip(a[0]) if a else None
             if inner is not None and ((name in ("Arc", "Box", "Rc") and inner.kind == "DynTraitType") or (name == "Box" and (inner.kind == "SliceType" or last_of(inner) == "str"))):
                 continue

@@ -20,7 +20,7 @@ def panicking(n) -> str | None:
 @ast("rust_assert_side_effects", "high", "Assertions that release builds drop have no effects.")
 def assert_side_effects(file, p):
     for m in file.of("MacroCall"):
-        if m.name.startswith("debug_assert") and any(t.text in ("+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=") for t in m.body):
+        if m.name.startswith("debug_assert") and any(re.fullmatch(r"(<<|>>|[-+*/%^&|])=", t.text) for t in m.body):
             yield m, f"`{m.name}!` assigns"
 
 
@@ -118,7 +118,7 @@ def global_state(file, p):
             yield m, "thread-local state"
 
 
-_WEAK = {"bool", "char", "str", "String", "u8", "u16", "u32", "u64", "u128", "usize", "i8", "i16", "i32", "i64", "i128", "isize", "f32", "f64"}
+_WEAK = frozenset("bool char str String f32 f64 isize usize".split()) | {f"{k}{n}" for k in "iu" for n in (8, 16, 32, 64, 128)}
 
 
 @ast("rust_infallible_from_weak", "medium", "A type that validates has no From of an unchecked value.")
@@ -138,7 +138,7 @@ def infallible_from_weak(file, p):
 @ast("rust_lossy_cast", "medium", "Casts that lose values are written out.")
 def lossy_cast(file, p):
     for c in file.of("CastExpr"):
-        if last_of(c.type) in ("f32", "u8", "u16", "i8", "i16") and not in_test(c):
+        if last_of(c.type) in "u8 i8 u16 i16 f32".split() and not in_test(c):
             f = nearest_fn(c)
             if f is None or not any(a.name == "expect" and "reason" in a.compact_body and any(x in a.compact_body for x in _CAST_LINTS) for a in attrs(f)):
                 yield c, f"cast to `{last_of(c.type)}` may lose"

@@ -6,7 +6,7 @@ import re
 
 from corposieve.rules.base import RustFile, args_of, ast, attrs, has_attr, in_test, inherent, last_of, leaves, owner, public, public_types, referent, rule, strip, uses
 
-_BUILTIN_ROOTS = {"crate", "self", "super", "std", "core", "alloc"}
+_BUILTIN_ROOTS = set("alloc core std super self crate".split())
 
 
 def ffi_package(file) -> bool:
@@ -28,7 +28,7 @@ def asref_bound_on_type(file, p):
                 yield t, f"`{t.name}` bounds `{g}` by AsRef"
 
 
-@ast("rust_concrete_io_param", "low", "Take a reader or writer, not a file.", types=["File", "Stdin", "Stdout", "TcpStream", "UnixStream"])
+@ast("rust_concrete_io_param", "low", "Take a reader or writer, not a file.", types="File Stdin Stdout TcpStream UnixStream".split())
 def concrete_io_param(file, p):
     for f in file.of("Fn"):
         for q in f.params:

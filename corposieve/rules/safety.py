@@ -7,11 +7,14 @@ import re
 from corposieve.rules.base import ast, bare, callee, derived, docs, in_test, last_of, nearest_fn, owner, preceded, rule, string_value, strip, uses
 
 
+_HOMES = r"/Users/ /home/ C:\\Users\\ C:\Users\ ".split()
+
+
 @rule("rust_abs_home_path", "rust-line", "medium", "Code holds no home folder.")
 def abs_home_path(file, p):
     for i, line in enumerate(file.lines, 1):
         if '"' in line and not line.strip().startswith("//"):
-            m = next((x for x in ("/Users/", "/home/", "C:\\\\Users\\\\", "C:\\Users\\") if x in line), None)
+            m = next((x for x in _HOMES if x in line), None)
             if m:
                 yield i, f"a path in a home folder: {m}"
 
@@ -94,7 +97,7 @@ def mutex_in_async(file, p):
 
 @ast(
     "rust_sensitive_debug", "high", "Debug output shows no secrets.", allowed_fields=[],
-    markers="token signing_key secret private_key passwd password credentials credential bearer authorization api_key".split(), redacted_types=["Secret", "SecretBox", "SecretString", "SecretVec", "Sensitive"],
+    markers="token signing_key secret private_key passwd password credentials credential bearer authorization api_key".split(), redacted_types="Secret SecretBox SecretString SecretVec Sensitive".split(),
 )
 def sensitive_debug(file, p):
     def secret(t):

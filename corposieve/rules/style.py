@@ -162,7 +162,7 @@ def loop_to_while(file, p):
                 yield n, "a loop that begins with its exit"
 
 
-@ast("rust_magic_numbers", "low", "Numbers that recur have names.", default=False, allowed=["0", "1", "0.0", "1.0"], min_occurrences=3)
+@ast("rust_magic_numbers", "low", "Numbers that recur have names.", default=False, allowed="0 1 0.0 1.0".split(), min_occurrences=3)
 def magic_numbers(file, p):
     groups = defaultdict(list)
     for n in file.of("Literal"):
@@ -249,7 +249,7 @@ def _contiguous(file, run):
 _CONTROL = ("IfExpr", "MatchExpr", "ForExpr", "WhileExpr", "LoopExpr")
 
 
-@ast("rust_padding", "low", "Blank lines set statements apart.", fixable=True, boundaries=["functions", "control-flow", "let-runs", "returns", "tail-expressions"])
+@ast("rust_padding", "low", "Blank lines set statements apart.", fixable=True, boundaries="functions control-flow let-runs returns tail-expressions".split())
 def padding(file, p):
     want = set(p["boundaries"])
 

@@ -19,7 +19,7 @@ _NUM = re.compile(r"0[xob][0-9a-fA-F_]+\w*|\d[\d_]*(?:\.\d[\d_]*(?![\w.])|\.(?=[
 _LIFE = re.compile(r"'[^\W\d]\w*(?!')")
 _CHAR = re.compile(r"b?'(?:\\(?:u\{[^}]*\}|x[0-9a-fA-F]{2}|.)|[^'\\])'")
 _STR = re.compile(r'[bc]?"(?:[^"\\]|\\.)*"', re.S)
-_PUNCT = ("<<=", ">>=", "...", "..=", "::", "->", "=>", "==", "!=", "<=", ">=", "&&", "||", "+=", "-=", "*=", "/=", "%=", "^=", "&=", "|=", "..", "<<", ">>")
+_PUNCT = tuple("<<= >>= ... ..= :: -> => == != <= >= && || += -= *= %= /= ^= |= &= .. << >>".split())
 
 
 def tokenize(text: str) -> tuple[list[Token], list[str]]:
