@@ -240,14 +240,15 @@ class _Parser:
     def item(self, scope: str = "file") -> Node | None:
         first = self.i
         attrs = self.attrs()
+        inner = [a for a in attrs if a.f["inner"]]
+        if inner and inner == attrs[: len(inner)]:  # they belong to what encloses the item
+            self.i = inner[-1].last
+            return self.done(self.node("Attrs", first), *inner)
         if self.i >= self.n or (self.at("}") and scope != "file"):
             if attrs:
                 n = self.node("Attrs", first)
                 return self.done(n, *attrs)
             return None
-        if attrs and all(a.f["inner"] for a in attrs) and scope == "file" and not self.item_ahead():
-            return self.done(self.node("Attrs", first), *attrs)
-        inner = [a for a in attrs if a.f["inner"]]
         vis_at = self.i
         vis = self.visibility()
         flags = set()
@@ -314,9 +315,6 @@ class _Parser:
             return None
         raise Broken(f"no item starts with {self.peek()!r}" + (" after an attribute" if inner else ""))
 
-    def item_ahead(self) -> bool:
-        return False
-
     def extern_block(self, first: int, attrs: list[Node], abi: str, flags: set) -> Node:
         n = self.node("ExternBlock", first)
         items = self.body("extern")
