@@ -91,7 +91,7 @@ def line_fixes(f: RustFile, rule: str, line: int) -> Edit | None:
     elif rule == "rust_sorted":
         return _sorted(f, line)
     elif rule == "rust_aligned":
-        return None
+        return _aligned(f, line)
     else:
         return None
     return Edit(line, line, new) if new != old else None
@@ -207,6 +207,55 @@ def tree_fix(f: RustFile, rule: str) -> str | None:
     return text if text != f.text else None
 
 
+def _aligned(f: RustFile, line: int) -> Edit | None:
+    """Pad the cells of a marked region to a common width; wrapped tuples are put on one line."""
+    from corposieve.rules.style import _code_columns, regions
+
+    for _, rows in regions(f.lines, "aligned"):
+        if not any(i == line for i, _ in rows):
+            continue
+        flat: list[str] = []
+        wrapped: list[str] | None = None
+        for _, t in rows:
+            if wrapped is not None:
+                wrapped.append(t.strip())
+                if t.strip() in (")", "),"):
+                    inner = " ".join(wrapped[:-1]).rstrip(",")
+                    flat[-1] += inner + wrapped[-1]
+                    wrapped = None
+            elif t.strip() == "(":
+                flat.append(t.rstrip())
+                wrapped = []
+            else:
+                flat.append(t)
+        cut = []
+        for t in flat:
+            if t.strip().startswith("//"):
+                cut.append(None)
+                continue
+            arrow, commas, comment = _code_columns(t)
+            raw = t.encode()
+            at = [arrow] if arrow is not None else commas
+            points = [0, *at, *([comment] if comment is not None else [])]
+            cells = [raw[a:b].decode().rstrip() for a, b in zip(points, [*points[1:], len(raw)], strict=True)]
+            cut.append((cells, comment is not None))
+        body = [c[0][: len(c[0]) - c[1]] for c in cut if c]
+        widths = [max(len(c[k].encode()) for c in body if k < len(c) - 1) if any(k < len(c) - 1 for c in body) else 0 for k in range(max(map(len, body)))]
+        out = []
+        for t, c in zip(flat, cut, strict=True):
+            if c is None:
+                out.append(t)
+                continue
+            own = c[0][: len(c[0]) - c[1]]
+            text = "".join(x + " " * (widths[k] - len(x.encode()) + 1) if k < len(own) - 1 else x for k, x in enumerate(own))
+            out.append((text, c[0][-1] if c[1] else None))
+        wide = max((len(x[0].encode()) for x in out if isinstance(x, tuple) and x[1]), default=0)
+        done = [x if isinstance(x, str) else x[0] + (" " * (wide - len(x[0].encode()) + 1) + x[1] if x[1] else "") for x in out]
+        if done != [t for _, t in rows]:
+            return Edit(rows[0][0], rows[-1][0], "\n".join(done))
+    return None
+
+
 TREE = ("rust_attr_order", "rust_dbg", "rust_derive_order", "rust_impl_member_order", "rust_match_layout", "rust_mod_order", "rust_padding", "rust_pub_use_grouping", "rust_pub_use_position", "rust_thiserror_qualified")
 
 
