@@ -24,10 +24,11 @@ def similar_pairs(items: DataFrame, percent: int = 85, key: str = "key", shingle
     ``exact``: equal digests; ``near``: ``100 * shared >= percent * union``; both share at least
     ``max(5, a tenth of the smaller set)``. Shingles are pruned to a prefix before they are joined: sets that meet
     the bound must share one of their rarest ``size - need + 1`` shingles, so frequent shingles meet no one.
-    Items with equal digests and sets are joined once per class, not in all pairs per shingle.
+    Items with equal digests form a class: each is paired with the class's first (``exact``), and the first stands
+    for them in near pairs. So no link between different items is lost, and no class is expanded into all pairs.
     """
     sets = items.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(shingles)).alias("s"), F.col(digest).alias("digest")).where(F.size("s") >= MIN_SHARED)
-    classes = sets.groupBy("digest", "s").agg(F.min("key").alias("rep"))
+    classes = sets.groupBy("digest").agg(F.min("key").alias("rep"), F.min_by("s", "key").alias("s"))
     flat = classes.select("rep", F.size("s").alias("n"), F.explode("s").alias("g"))
     frequency = flat.groupBy("g").agg(F.count("*").alias("df"))
     need = F.ceil(F.col("n") * percent / 100)
@@ -42,11 +43,9 @@ def similar_pairs(items: DataFrame, percent: int = 85, key: str = "key", shingle
     union = F.size("su") + F.size("sv") - shared
     floor = F.greatest(F.lit(MIN_SHARED), F.ceil(F.least(F.size("su"), F.size("sv")) / 10))
     near = full.where((shared >= floor) & (100 * shared >= percent * union)).select("u", "v", shared.alias("shared"))
-    members = sets.join(classes, ["digest", "s"]).select("key", "rep", F.size("s").alias("n"))
-    out = near.join(members.select(F.col("key").alias("x"), F.col("rep").alias("u")), "u").join(members.select(F.col("key").alias("y"), F.col("rep").alias("v")), "v")
-    other = out.select(F.least("x", "y").alias("left_key"), F.greatest("x", "y").alias("right_key"), "shared", F.lit("near").alias("kind"))
-    same = members.join(members.toDF("key2", "rep", "n2"), "rep").where("key < key2").select(F.col("key").alias("left_key"), F.col("key2").alias("right_key"), F.col("n").alias("shared"), F.lit("exact").alias("kind"))
-    return other.union(same)
+    other = near.select(F.col("u").alias("left_key"), F.col("v").alias("right_key"), "shared", F.lit("near").alias("kind"))
+    copies = sets.select("key", "digest", F.size("s").alias("n")).join(classes.select("digest", "rep"), "digest").where("key != rep")
+    return other.union(copies.select(F.col("rep").alias("left_key"), F.col("key").alias("right_key"), F.col("n").alias("shared"), F.lit("exact").alias("kind")))
 
 
 def clone_groups(items: DataFrame, key: str, digest: Column) -> DataFrame:
@@ -55,16 +54,27 @@ def clone_groups(items: DataFrame, key: str, digest: Column) -> DataFrame:
 
 
 def duplicate_values(df: DataFrame, value: str, order: list[str], least_chars: int, least: int) -> DataFrame:
-    """Each occurrence but the first of values of ``least_chars`` characters found ``least`` times or more."""
-    w = Window.partitionBy(value)
-    marked = df.where(F.length(value) >= least_chars).withColumn("occurrences", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy(*order)))
-    return marked.where((F.col("occurrences") >= least) & (F.col("nth") > 1))
+    """Each occurrence but the first of values of ``least_chars`` characters found ``least`` times or more.
+
+    Values are counted with map-side aggregation and joined back: one that a third of all rows hold stays a row a
+    task in the count, and its join can be split, as a window over it could not.
+    """
+    rows = df.where(F.length(value) >= least_chars)
+    place = F.struct(*order)
+    counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("occurrences"), F.min(place).alias("_first")).where(F.col("occurrences") >= least)
+    return rows.join(counts, F.col(value) == F.col("_v")).where(place != F.col("_first")).drop("_v", "_first")
 
 
 def parameter_clumps(params: DataFrame, item: str, param: str, least_params: int = 3, least_items: int = 3) -> DataFrame:
-    """Parameters that occur in one and the same set of items: ``items, params``, both sorted."""
-    supports = params.groupBy(param).agg(F.array_sort(F.collect_set(item)).alias("items")).where(F.size("items") >= least_items)
-    return supports.groupBy("items").agg(F.array_sort(F.collect_set(param)).alias("params")).where(F.size("params") >= least_params)
+    """Parameters that occur in one and the same set of items: ``n_items, params, anchor`` (the last item).
+
+    Sets are compared by their size and two order-free digests of 64 bits and more, so that a parameter of a third of
+    all items is pre-aggregated and never gathers its items in one task.
+    """
+    pairs = params.select(F.col(item).alias("i"), F.col(param).alias("p")).distinct()
+    support = pairs.groupBy("p").agg(F.count("*").alias("n_items"), F.sum(F.xxhash64("i").cast("decimal(38,0)")).alias("d1"), F.bit_xor(F.xxhash64(F.lit(7), "i")).alias("d2"), F.max("i").alias("anchor"))
+    same = support.where(F.col("n_items") >= least_items).groupBy("n_items", "d1", "d2", "anchor")
+    return same.agg(F.array_sort(F.collect_list("p")).alias("params")).where(F.size("params") >= least_params).select("n_items", "params", "anchor")
 
 
 def unreferenced(declared: DataFrame, used: DataFrame, key: str) -> DataFrame:

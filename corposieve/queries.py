@@ -56,7 +56,7 @@ def nonblank_line_threshold(spark, d):
 
 def duplicate_strings(spark, d):
     found = graph.duplicate_values(_lines(spark, d).withColumn("k", F.col("rel").cast("long")), "text", ["k", "line"], 40, 3)
-    return found.select("rel", "line", "occurrences", "nth")
+    return found.select("rel", "line", "occurrences")
 
 
 def near_dup_shingle_jaccard(spark, d):
@@ -74,7 +74,7 @@ def exact_clone_groups(spark, d):
 def param_clump(spark, d):
     baskets = _t(spark, d, "lineitem").where("l_orderkey < 2000").select("l_orderkey", F.concat_ws("|", "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("param"))
     found = graph.parameter_clumps(baskets, "l_orderkey", "param", 1, 3)
-    return found.select(F.size("items").alias("n_items"), F.array_join("params", ",").alias("params"), F.element_at("items", -1).alias("anchor"))
+    return found.select("n_items", F.array_join("params", ",").alias("params"), "anchor")
 
 
 def unreferenced_dimension(spark, d):
@@ -247,17 +247,17 @@ SELECT count(*) FILTER (regexp_matches(text, '{_CLASS}')) AS bidi_lines, count(*
     "long_lines_per_doc": f"WITH {_L} SELECT rel, count(*) AS n_long, max(length(text))::INTEGER AS longest FROM l WHERE length(text) > 500 GROUP BY rel",
     "nonblank_line_threshold": f"WITH {_L} SELECT rel, count(*) AS nonblank FROM l WHERE trim(text) <> '' GROUP BY rel HAVING count(*) > 20",
     "duplicate_strings": f"""WITH {_L}, m AS (SELECT rel, line, count(*) OVER (PARTITION BY text) AS occurrences, row_number() OVER (PARTITION BY text ORDER BY rel::BIGINT, line)::INTEGER AS nth FROM l WHERE length(text) >= 40)
-SELECT * FROM m WHERE occurrences >= 3 AND nth > 1""",
+SELECT rel, line, occurrences FROM m WHERE occurrences >= 3 AND nth > 1""",
     "near_dup_shingle_jaccard": f"""WITH w AS (SELECT doc_id, text, {_WORDS5} AS w FROM documents),
-s AS MATERIALIZED (SELECT doc_id, text, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5),
-e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s WHERE len(s) >= 5),
+s AS MATERIALIZED (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS rep, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s WHERE len(s) >= 5 AND doc_id = rep),
 p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c, any_value(a.n) AS nu, any_value(b.n) AS nv FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT u AS left_key, v AS right_key, c::INTEGER AS shared, CASE WHEN x.text = y.text THEN 'exact' ELSE 'near' END AS kind FROM p JOIN s x ON x.doc_id = u JOIN s y ON y.doc_id = v
-WHERE c >= greatest(5, ceil(least(nu, nv) / 10.0)) AND 100 * c >= 85 * (nu + nv - c)""",
+SELECT u AS left_key, v AS right_key, c::INTEGER AS shared, 'near' AS kind FROM p WHERE c >= greatest(5, ceil(least(nu, nv) / 10.0)) AND 100 * c >= 85 * (nu + nv - c)
+UNION ALL SELECT rep, doc_id, len(s)::INTEGER, 'exact' FROM s WHERE doc_id <> rep AND len(s) >= 5""",
     "exact_clone_groups": "SELECT md5(text) AS digest, min(doc_id) AS first_key, count(*) AS members FROM documents GROUP BY text HAVING count(*) > 1",
     "param_clump": """WITH b AS (SELECT DISTINCT l_orderkey, concat_ws('|', l_returnflag, l_linestatus, l_linenumber::VARCHAR) AS param FROM lineitem WHERE l_orderkey < 2000),
 s AS (SELECT param, list(l_orderkey ORDER BY l_orderkey) AS items FROM b GROUP BY param HAVING count(*) >= 3)
-SELECT len(items)::INTEGER AS n_items, string_agg(param, ',' ORDER BY param) AS params, items[-1] AS anchor FROM s GROUP BY items""",
+SELECT len(items) AS n_items, string_agg(param, ',' ORDER BY param) AS params, items[-1] AS anchor FROM s GROUP BY items""",
     "unreferenced_dimension": "SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)",
     "glob_edge_theta": """WITH x AS (SELECT lower(n_name) AS nation, lower(r_name) AS region FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT nation, region, 'deny' AS verdict, 'ma*' AS edge FROM x WHERE regexp_matches(nation, '^ma[^/]*$') AND regexp_matches(region, '^[^/]*a$')

@@ -101,15 +101,14 @@ def param_clump(recs: DataFrame, p: dict) -> DataFrame:
     item = F.struct("rel", F.col("f.line").alias("line"), F.col("f.name").alias("name"))
     flat = fns.select(item.alias("item"), F.explode("f.params").alias("q")).select("item", F.concat("q.name", F.lit(": "), "q.type").alias("param")).distinct()
     clumps = graph.parameter_clumps(flat, "item", "param", p["min_clump"], p["min_fns"])
-    anchor = F.element_at("items", -1)
-    message = F.concat(F.array_join("params", ", "), F.lit(" come together in "), F.size("items").cast("string"), F.lit(" functions: "), F.array_join(F.transform("items", lambda x: x["name"]), ", "))
-    return _finding(clumps, "rust_param_clump", anchor["rel"], anchor["line"], message)
+    message = F.concat(F.array_join("params", ", "), F.lit(" come together in "), F.col("n_items").cast("string"), F.lit(" functions"))
+    return _finding(clumps, "rust_param_clump", F.col("anchor.rel"), F.col("anchor.line"), message)
 
 
 @rule("rust_duplicate_strings", "rust-workspace", "low", "A long text is written once.", min_chars=40, min_occurrences=3)
 def duplicate_strings(recs: DataFrame, p: dict) -> DataFrame:
-    flat = recs.select("rel", F.explode("strings").alias("s")).select("rel", F.col("s.line").alias("line"), F.col("s.value").alias("value"))
-    found = graph.duplicate_values(flat, "value", ["rel", "line"], p["min_chars"], p["min_occurrences"])
+    flat = recs.select("rel", F.posexplode("strings").alias("at", "s")).select("rel", "at", F.col("s.line").alias("line"), F.col("s.value").alias("value"))
+    found = graph.duplicate_values(flat, "value", ["rel", "line", "at"], p["min_chars"], p["min_occurrences"])
     return _finding(found, "rust_duplicate_strings", F.col("rel"), F.col("line"), F.concat(F.lit("a text that is written "), F.col("occurrences").cast("string"), F.lit(" times")))
 
 
