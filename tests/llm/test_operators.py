@@ -285,7 +285,7 @@ def test_sharding_law(spark, rows):
         assert sorted(r.slot for r in s) == list(range(len(s)))
     assert all(r.size == len(text[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in got)
     for source, n in Counter(r[3] for r in rows).items():
-        assert all(abs(sum(r.source == source for r in s) - n / 24) <= 1 for s in by.values())
+        assert all(abs(sum(r.source == source for r in s) - n / 24) < 2 for s in by.values())  # both cuts round
 
 
 def test_warc_round_trip(spark):
