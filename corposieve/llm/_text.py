@@ -69,7 +69,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE) -> It
 
 @dataclass
 class Words:
-    data: np.ndarray  # bytes of all texts
+    data: np.ndarray  # bytes of these texts alone, not of the batch that they are a part of
     offsets: np.ndarray  # of texts in data
     starts: np.ndarray  # of words in data
     ends: np.ndarray
@@ -110,7 +110,7 @@ def words(column: pa.Array, fold: bool = True, space: np.ndarray = SPACE) -> Wor
         hashes[at:to] = (total[e] - total[s]) * inverse[s] + (e - s).astype(U) * U(0x9E3779B97F4A7C15)
         at = to
     first = np.searchsorted(starts, offsets - low, "left")
-    return Words(data, offsets, starts + low, ends + low, mix(hashes), first)
+    return Words(part, offsets - low, starts, ends, mix(hashes), first)
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -35,21 +35,18 @@ def features(column: pa.Array) -> np.ndarray:
     w = words(column)
     n, size = w.count.astype(float), np.diff(w.offsets).astype(float)
     per_word = np.maximum(n, 1)
-    lengths = (w.ends - w.starts).astype(float)
-
-    def summed(x: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0.0], np.cumsum(x)))
-        return total[w.first[1:]] - total[w.first[:-1]]
-
-    # distinct words, counted over a text's first occurrences by sorting (text, hash)
-    text = np.repeat(np.arange(len(n)), w.count)
-    order = np.lexsort((w.hashes, text))
-    h, t = w.hashes[order], text[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-    distinct = np.bincount(t[new], minlength=len(n)) if len(t) else np.zeros(len(n))
+    lengths = w.ends - w.starts
+
+    def counted(flags: np.ndarray) -> np.ndarray:
+        return np.diff(np.searchsorted(np.flatnonzero(flags), w.first))
+
+    # distinct words: one sort of 24 bits of the text's number in its slice and 40 of the hash
+    text = np.repeat(np.arange(len(n), dtype=U), w.count)
+    keys = np.sort((text << U(40)) | (w.hashes >> U(24)))
+    new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+    distinct = np.bincount((keys[new] >> U(40)).astype(np.int64), minlength=len(n))
     cols = [per_text(flags[w.data], w.offsets) / per_word for flags in _BYTES.values()]
-    cols += [np.log1p(n) / 10, size / per_word / 10, distinct / per_word, repeated_words(w.hashes, w.first, 5) / per_word, summed(lengths <= 3) / per_word, summed(lengths >= 12) / per_word]
+    cols += [np.log1p(n) / 10, size / per_word / 10, distinct / per_word, repeated_words(w.hashes, w.first, 5) / per_word, counted(lengths <= 3) / per_word, counted(lengths >= 12) / per_word]
     x = np.minimum(np.stack(cols, axis=1) if len(n) else np.zeros((0, len(FEATURES))), 20)
     return np.concatenate((x, np.sqrt(x)), axis=1)
 

@@ -20,10 +20,9 @@ RULES = {"few_words": "n_words < 20", "repeats": "100 * n_repeat_words > 30 * n_
 
 
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many flags are set in each text's bytes."""
+    """How many flags are set in each text's bytes; few are, so their places are searched."""
     low = int(offsets[0])
-    total = np.concatenate(([0], np.cumsum(flags[low : int(offsets[-1])], dtype=np.int64)))
-    return total[offsets[1:] - low] - total[offsets[:-1] - low]
+    return np.diff(np.searchsorted(np.flatnonzero(flags[low : int(offsets[-1])]), offsets - low)).astype(np.int64)
 
 
 def repeated_words(hashes: np.ndarray, first: np.ndarray, size: int = 8) -> np.ndarray:
@@ -32,7 +31,11 @@ def repeated_words(hashes: np.ndarray, first: np.ndarray, size: int = 8) -> np.n
     rolled = np.zeros(max(0, len(hashes) - size + 1), U)
     for k in range(size):
         rolled = mix(rolled + hashes[k : k + len(rolled)] + U(k + 1))
-    for i in np.flatnonzero(np.diff(first) > size).tolist():
+    # texts that may repeat a window: one sort of 24 bits of the text's number and 40 of the window's hash
+    text = np.repeat(np.arange(len(first) - 1, dtype=U), np.diff(first))
+    inside = np.flatnonzero(text[: len(rolled)] == text[size - 1 :]) if len(rolled) else np.zeros(0, np.int64)
+    keys = np.sort((text[inside] << U(40)) | (rolled[inside] >> U(24)))
+    for i in np.unique(keys[1:][keys[1:] == keys[:-1]] >> U(40)).tolist():
         x = rolled[first[i] : first[i + 1] - size + 1]
         y = np.sort(x)
         twice = y[1:][y[1:] == y[:-1]]
