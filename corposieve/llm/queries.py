@@ -39,7 +39,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +112,9 @@ t AS (SELECT sum(n) AS rows, sum(sqrt(n)) AS total FROM n),
 r AS (SELECT source, rows * sqrt(n) / total / n AS rate FROM n, t),
 p AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM r
   UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM p WHERE k < ceil(rate + 10 * sqrt(rate) + 30)),
-u AS (SELECT doc_id, source, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '-') || ':1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
-d AS (SELECT doc_id, u.source, u, (SELECT count(*) FROM p WHERE p.source IS NOT DISTINCT FROM u.source AND p.c <= u.u) AS times FROM u)
-SELECT doc_id, source, unnest(range(1, times + 1))::INTEGER AS copy FROM d""",
+u AS (SELECT *, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '-') || ':1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+d AS (SELECT u.* EXCLUDE (u), (SELECT count(*) FROM p WHERE p.source IS NOT DISTINCT FROM u.source AND p.c <= u.u) AS times FROM u)
+SELECT * EXCLUDE (times), unnest(range(1, times + 1))::INTEGER AS copy FROM d""",
     "op8_decontaminate": r"""
 WITH w AS MATERIALIZED (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS MATERIALIZED (SELECT item_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
