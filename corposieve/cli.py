@@ -18,7 +18,7 @@ from corposieve.plans import config as conf
 from corposieve.plans import engine
 from corposieve.rules.base import Registry
 from corposieve.rules.catalog import builtin
-from corposieve.sources import corpus
+from corposieve.sources import corpus, modules
 
 CONFIG = "corposieve.toml"
 
@@ -169,6 +169,7 @@ def main(argv: list[str] | None = None, registry: Registry | None = None, spark:
     files = corpus.source_tree(spark, str(root))
     if known:
         files = corpus.with_package(files, spark.createDataFrame(known, "name string, root string, publishable boolean"))
+    files = modules.classify(files)
     for r in [select_packages(known, a.package)] if a.package else []:
         from functools import reduce
 

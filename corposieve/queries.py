@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corposieve.functions import globs, text
-from corposieve.operators import findings, graph
+from corposieve.operators import findings, graph, linescan
 from corposieve.sources import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,13 +212,20 @@ def line_windows(spark, d):
     return found.withColumn("before", F.lag("k").over(w)).where("k and before").groupBy("rel").agg(F.count("*").alias("n"))
 
 
+def fused_line_rules(spark, d):
+    pages = corpus.lines(corpus.from_table(_t(spark, d, "pages"), "page_id", "html"))
+    talk = corpus.lines(corpus.from_table(_t(spark, d, "conversations").withColumn("k", F.concat_ws(".", "conv_id", "turn")), "k", "text"))
+    found = linescan.scan(_lines(spark, d).unionByName(pages).unionByName(talk), linescan.rules(comments=False))
+    return found.groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("rel").alias("files"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         line_explode_count, duplicate_adjacent_words, ambiguous_unicode_first, bidi_controls, long_lines_per_doc, nonblank_line_threshold, duplicate_strings, near_dup_shingle_jaccard,
         exact_clone_groups, param_clump, unreferenced_dimension, glob_edge_theta, longest_prefix_owner, baseline_multiset_diff, suppression_range_anti, stale_suppressions, override_last_match,
         second_occurrence, first_offender, consecutive_run_islands, preceding_context_window, majority_with_tiebreak, enum_variant_outlier, recursive_self_reference, test_closure, test_only_files,
-        hardcoded_url, summary_by_rule, report_json, glob_scope, line_windows,
+        hardcoded_url, summary_by_rule, report_json, glob_scope, line_windows, fused_line_rules,
     )
 }
 
@@ -291,5 +298,17 @@ SELECT sha256(strlen(rule) || ':' || rule || strlen(rel) || ':' || rel || strlen
 coalesce(description, '') AS description, coalesce(guidance, '') AS guidance, fixable FROM n LEFT JOIN r USING (rule)""",
     "glob_scope": r"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') AS path FROM pages)
 SELECT page_id FROM p WHERE (regexp_matches(path, '^[^/]*\.example\.com/.*$') OR regexp_matches(path, '^([^/]+/)*en/[^/]*$')) AND NOT regexp_matches(path, '^blog\.[^/]*/.*$')""",
+    "fused_line_rules": f"""WITH p0 AS (SELECT doc_id::VARCHAR AS rel, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '' UNION ALL SELECT page_id::VARCHAR, string_split(html, chr(10)) FROM pages WHERE html <> ''
+UNION ALL SELECT conv_id || '.' || turn, string_split(text, chr(10)) FROM conversations WHERE text <> ''),
+p1 AS (SELECT rel, unnest(ls) AS text, generate_subscripts(ls, 1) AS line, len(ls) AS n FROM p0),
+l AS (SELECT row_number() OVER () AS k, rel, CASE WHEN line < n THEN regexp_replace(text, '\\r$', '') ELSE text END AS text FROM p1 WHERE NOT (line = n AND text = '')),
+w AS (SELECT k, rel, list_filter(string_split_regex(text, '[\\s\\p{{Z}}\\x{{85}}]+'), lambda x: x <> '') AS w FROM l),
+d AS (SELECT DISTINCT k, rel FROM (SELECT k, rel, unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM w WHERE len(w) > 1) WHERE lower(a) = lower(b)),
+f AS (SELECT rel, 'rust_style' AS rule FROM l WHERE regexp_matches(text, '[\\s\\p{{Z}}\\x{{85}}]$') UNION ALL SELECT rel, 'rust_style' FROM l WHERE contains(text, chr(9)) UNION ALL SELECT rel, 'rust_style' FROM l WHERE contains(text, chr(13))
+UNION ALL SELECT rel, 'rust_duplicate_words' FROM d UNION ALL SELECT rel, 'rust_todo' FROM l, (VALUES ('TODO'), ('FIXME'), ('HACK'), ('XXX')) AS v(w) WHERE regexp_matches(text, w || '($|[^(])')
+UNION ALL SELECT rel, 'rust_ambiguous_unicode' FROM l WHERE regexp_matches(text, '{_ALIKE}') UNION ALL SELECT rel, 'rust_bidirectional_unicode' FROM l WHERE regexp_matches(text, '{_CLASS}')
+UNION ALL SELECT rel, 'rust_abs_home_path' FROM l WHERE contains(text, '"') AND regexp_matches(text, '/Users/|/home/|C:\\\\{{1,2}}Users\\\\{{1,2}}') AND NOT regexp_matches(text, '^\\s*//')
+UNION ALL SELECT rel, 'rust_banner_comments' FROM l WHERE regexp_matches(text, '^\\s*//([^/!]|$)') AND regexp_matches(text, '^\\s*//[\\s\\-=*#~_]*[-=*#~_]{{4}}[\\s\\-=*#~_]*$') UNION ALL SELECT rel, 'rust_comment_space' FROM l WHERE regexp_matches(text, '^\\s*//[^ /!#\\[]'))
+SELECT rule, count(*) AS n, count(DISTINCT rel) AS files FROM f GROUP BY rule""",
     "line_windows": f"WITH {_L} SELECT rel, count(*) AS n FROM (SELECT rel, length(text) > 200 AS k, lag(length(text) > 200) OVER (PARTITION BY rel ORDER BY line) AS b FROM l) WHERE k AND b GROUP BY rel",
 }

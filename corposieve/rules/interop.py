@@ -87,7 +87,7 @@ def ffi_thin_glue(file, p):
             yield f, f"`{f.name}` is {f.body.end_line - f.body.line} lines long"
 
 
-@ast("rust_foreign_reexports", "low", "Items of other crates aren't re-exported.", allowed=[], members=[])
+@ast("rust_foreign_reexports", "medium", "Items of other crates aren't re-exported.", allowed=[], members=[])
 def foreign_reexports(file, p):
     local = {m.name for m in file.of("Module")}
     for u in file.of("Use"):

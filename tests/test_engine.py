@@ -324,3 +324,36 @@ def test_longest_prefix_owner(spark):
     files = _files(spark, [("a/b/c.rs", ""), ("a/x.rs", ""), ("z.rs", "")])
     packs = spark.createDataFrame([("root", "", True), ("a", "a", False), ("ab", "a/b", True)], "name string, root string, publishable boolean")
     assert {r.rel: r.package for r in corpus.with_package(files, packs).collect()} == {"a/b/c.rs": "ab", "a/x.rs": "a", "z.rs": "root"}
+
+
+def test_fused_scan_agrees_with_the_rules(spark):
+    from corposieve.operators import linescan
+
+    source = "//! The the start\n//bad\n// ----\n// TODO later\nlet a = 1; \n\tlet b = \"/home/me\";\nlet c = \"http://x FIXME\";\nlet а = 2;\n// ‮ x\n// TODO(me): x XXX\n"
+    files = _files(spark, [("a.rs", source)])
+    wanted = linescan.rules()
+    fused = linescan.scan(corpus.lines(files), wanted).select("rule", "line").collect()
+    plain = engine.analyze(files, REG, conf.default(REG), list(wanted)).select("rule", "line").collect()
+    assert sorted(map(tuple, fused)) == sorted(map(tuple, plain))
+
+
+def test_files_of_tests_alone(spark):
+    from corposieve.sources import modules
+
+    files = _files(spark, [
+        ("src/lib.rs", "mod a;\n#[cfg(test)]\nmod t;\nmod inner { mod deep; }\n"), ("src/a.rs", "mod b;\n"), ("src/a/b.rs", ""), ("src/t.rs", "mod u;\ninclude!(\"gen.rs\");\n"), ("src/t/u.rs", ""),
+        ("src/gen.rs", ""), ("src/inner/deep.rs", ""), ("tests/x.rs", ""), ("src/orphan.rs", ""),
+    ])
+    got = {r.rel for r in modules.classify(files).collect() if r.test_only}
+    assert got == {"src/t.rs", "src/t/u.rs", "src/gen.rs", "tests/x.rs"}
+
+
+def test_example_pack():
+    import importlib.util
+    from pathlib import Path
+
+    spec = importlib.util.spec_from_file_location("custom_pack", Path(__file__).parents[1] / "examples/custom_pack.py")
+    pack = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(pack)
+    r = pack.registry().rules["demo_no_sleep"]
+    assert list(r.check(RustFile("fn f() { std::thread::sleep(d); }"), dict(r.params)))
