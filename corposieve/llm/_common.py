@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if a count of its staged rows is no larger than this.
@@ -35,12 +35,20 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """``df``, marked for a broadcast if it has at most ``most`` rows; else as it is, so the join shuffles.
 
-    ``df`` should be staged, as its rows are counted here.
+    Where rows hold arrays, ``weight`` is a row's number of entries, and their sum counts. ``df`` should be staged,
+    as it is counted here.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    n = df.limit(most + 1).count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if n <= most else df
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete what this application has staged; results that are still to be read from it are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bound_batches(spark: SparkSession) -> None:

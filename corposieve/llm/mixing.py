@@ -60,7 +60,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "m
         F.sequence(F.lit(1), F.col("_k")), F.lit(0), lambda acc, k: acc + F.size(F.filter("_cdf", lambda c: c <= uniform(seed, F.col("doc_id"), k)))
     )
     single = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    joined = docs.select(*keep).join(bounded(rates), F.col(source).cast("string").eqNullSafe(F.col("_s"))).withColumn("_u", uniform(seed, F.col("doc_id"), F.lit(1)))
+    joined = docs.select(*keep).join(bounded(rates, weight=F.size("_cdf")), F.col(source).cast("string").eqNullSafe(F.col("_s"))).withColumn("_u", uniform(seed, F.col("doc_id"), F.lit(1)))
     times = F.when(F.col("_k") == 1, single).otherwise(count)
     copies = joined.withColumn("_t", times).where("_t > 0").select(*keep, F.explode(F.sequence(F.lit(1), F.col("_t"))).alias("copy"))
     return copies.orderBy(F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("copy").cast("string")).cast("binary")))

@@ -129,8 +129,8 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT, file_bytes:
     Of pages with equal payloads of at least ``min_bytes``, that with the smallest page_id becomes a response and
     the others revisit it. Null html is an empty payload; pages without an id are all responses and no page's
     origin; repeated rows of the origin's own id are all responses, too. Returns the written files, ``path,
-    records``. A task writes under a name of its attempt and renames when whole, so a lost task leaves nothing
-    that is read. Columns other than page_id, url and html aren't written.
+    records``. Names hold the task's attempt, and only files of attempts that succeeded are listed: what a lost
+    or late attempt leaves isn't read. Columns other than page_id, url and html aren't written.
     """
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -154,7 +154,7 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT, file_bytes:
             nonlocal out, size, n
             if out is not None:
                 out.close()
-                name = f"{root}/part-{part:06d}-{len(done):04d}.warc.gz"
+                name = f"{root}/part-{part:06d}-{tries}-{len(done):04d}.warc.gz"
                 fs.move(temp, name)
                 done.append((name, n))
             out, size, n = None, 0, 0
