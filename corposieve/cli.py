@@ -112,7 +112,7 @@ def markdown(registry: Registry) -> str:
     for r in engine.catalog(registry):
         out.append("| " + " | ".join(map(cell, (f"`{r['rule']}`", r["kind"], r["severity"], "on" if r["default"] else "off", "yes" if r["fixable"] else "", r["description"]))) + " |")
     params = [(r["rule"], k, v) for r in engine.catalog(registry) for k, v in r["params"].items()]
-    return "\n".join([*out, "", "| rule | parameter | default |", "| --- | --- | --- |", *(f"| `{a}` | `{b}` | `{cell(json.dumps(c))}` |" for a, b, c in params), ""])
+    return "\n".join([*out, "", "| rule | parameter | default |", "| --- | --- | --- |", *(f"| `{a}` | `{b}` | `{cell(" ".join(c) if isinstance(c, list) else json.dumps(c))}` |" for a, b, c in params), ""])
 
 
 def main(argv: list[str] | None = None, registry: Registry | None = None, spark: SparkSession | None = None) -> int:

@@ -174,8 +174,8 @@ def tree_fix(f: RustFile, rule: str) -> str | None:
             for a, b in zip(m.arms, m.arms[1:], strict=False):
                 gap = f.text[a.end : b.start]
                 if "\n" in gap and "//" not in gap and many != bool(re.search(r"\n[ \t]*\r?\n", gap)):
-                    indent = gap.rpartition("\n")[2]
-                    cuts.append((a.end, b.start, ("\n\n" if many else "\n") + indent))
+                    indent, comma = gap.rpartition("\n")[2], gap.split("\n")[0].rstrip()
+                    cuts.append((a.end, b.start, comma + ("\n\n" if many else "\n") + indent))
     elif rule == "rust_thiserror_qualified":
         from corposieve.rules.base import uses
 

@@ -19,13 +19,13 @@ RUST: list[tuple[str, dict[str, int]]] = [
     ("//! Adds.\n\n/// Adds.\npub fn add(a: bool, b: bool) -> Result<u8, String> {\n    let x = a.parse().unwrap();\n\n    Ok(x)\n}\n", {"rust_bool_params": 1, "rust_string_error": 1, "rust_unwrap_in_lib": 1, "rust_panic_in_result_fn": 1, "rust_doc_errors_section": 1, "rust_doc_panics_section": 1}),
     ("//! Holds.\n\n#[derive(Debug, Clone)]\npub struct Manager { pub token: String }\n\npub enum Kind { A, B }\n", {"rust_derive_order": 1, "rust_sensitive_debug": 1, "rust_weasel_words": 1, "rust_pub_api_docs": 2, "rust_non_exhaustive_on_public": 1, "rust_missing_debug": 1}),
     ("//! Waits.\n\nfn f(v: &Vec<u8>) {\n    // the the end\n    println!(\"{v:?}\");\n    // TODO later\n    unsafe { g() }\n}\n", {"rust_duplicate_words": 1, "rust_owned_ref_param": 1, "rust_println": 1, "rust_todo": 1, "rust_unsafe_comment": 1}),
-    ("//! Silent.\n\n// #rw(file: rust_println) a tool prints\n\nfn f() {\n    println!(\"x\");\n    // #rw(rust_dbg) kept for now\n    dbg!(1);\n    dbg!(2);\n}\n", {"rust_dbg": 1}),
+    ("//! Silent.\n\n// #rw(file: rust_println) a tool prints\n\nfn f() {\n    println!(\"x\");\n    // #rw(rust_dbg) kept for now\n    dbg!(one);\n    dbg!(two);\n}\n", {"rust_dbg": 1}),
     ("fn broken( {\n\tlet x = 1;  \n", {"rust_style": 2, "rust_module_docs": 1}),
 ]
 _RULES = sorted({k for _, x in RUST for k in x})
 MANIFESTS: list[tuple[str, dict[str, int]]] = [
     ('[package]\nname = "a"\nedition = "2018"\nrust-version = "1.70"\n\n[features]\nuse-std = []\nno-std = []\n\n[lints]\nworkspace = true\n', {"toml_cargo_edition": 1, "toml_cargo_feature_names": 1, "toml_cargo_feature_no_std": 1}),
-    ('[workspace]\nmembers = []\nresolver = "3"\n\n[workspace.package]\nedition = "2024"\nrust-version = "1.85"\n\n[workspace.dependencies]\nserde = { version = "1", features = ["derive", "rc"] }\n', {"toml_cargo_workspace_dep_features": 1}),
+    ('[workspace]\nmembers = []\nresolver = "3"\n\n[workspace.package]\nedition = "2024"\nrust-version = "1.85"\n\n[workspace.dependencies]\nserde = { features = ["rc", "derive"], version = "1" }\n', {"toml_cargo_workspace_dep_features": 1}),
     ("[package\n", {"toml_validity": 1}),
 ]
 _TOML = ["toml_cargo_edition", "toml_cargo_feature_names", "toml_cargo_feature_no_std", "toml_cargo_workspace_dep_features", "toml_validity"]
