@@ -136,7 +136,8 @@ def _scorer(f):
     def typed(column: pa.Array) -> pa.Array:
         return f(column)
 
-    return F.arrow_udf(typed, "double")
+    # so marked, the optimizer neither copies it into a filter above nor runs it twice a row
+    return F.arrow_udf(typed, "double").asNondeterministic()
 
 
 __all__ = ["Column", "FEATURES", "Logistic", "U", "features", "fit", "quality_classifier"]
