@@ -28,6 +28,7 @@ def similar_pairs(items: DataFrame, percent: int = 85, key: str = "key", shingle
     for them in near pairs. So no link between different items is lost, and no class is expanded into all pairs.
     """
     sets = items.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(shingles)).alias("s"), F.col(digest).alias("digest")).where(F.size("s") >= MIN_SHARED)
+    sets = checkpointed(sets)  # shingles are made once, though five branches read them
     classes = sets.groupBy("digest").agg(F.min("key").alias("rep"), F.min_by("s", "key").alias("s"))
     flat = classes.select("rep", F.size("s").alias("n"), F.explode("s").alias("g"))
     frequency = flat.groupBy("g").agg(F.count("*").alias("df"))
