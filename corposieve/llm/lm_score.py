@@ -1,10 +1,12 @@
 """LM scoring by masked pseudo-likelihood with a bidirectional window network in numpy.
 
 The network sees ``SIDE`` words on either side of a position, never the word there, and gives that word's
-probability in two steps (its group, then its place in the group). A text's score is the sum of the logarithms of
-these probabilities over all its words. Vocabulary counts cover every word of the corpus; training masks a seventh
-of all positions of every text, in tasks that each improve the common weights on their own rows, after which the
-weights are averaged over tasks in two levels of grouped sums.
+probability in two steps (its group, then its place in the group). The network knows the frequent words and buckets
+of all others; a word of a bucket has the bucket's probability times the word's share of the bucket's words in the
+corpus, from a table of counts that has every word and is joined by hash. A text's score is the sum of the logarithms
+of these probabilities over all its words. Training masks a part of all positions of every text at a time, in tasks
+that each improve the common weights on their own rows, after which the weights are averaged over tasks in two levels
+of grouped sums.
 """
 
 from __future__ import annotations
@@ -124,8 +126,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def frequent_words(docs: DataFrame) -> list[int]:
-    """Hashes of the most frequent words, ties by hash; counts are over all words of all texts."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``h, n``: the hash of every word of all texts, and how often it is there."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,10 +135,23 @@ def frequent_words(docs: DataFrame) -> list[int]:
             h, n = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, U), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    counts = _texts(docs).select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return _texts(docs).select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame) -> list[int]:
+    """Hashes of the most frequent words, ties by hash."""
     return [r.h for r in counts.orderBy(F.desc("n"), "h").limit(VOCABULARY - BUCKETS - 1).collect()]
 
 
+def bucket_sizes(counts: DataFrame, frequent: list[int]) -> np.ndarray:
+    """How many words of the corpus fall into each bucket."""
+    bucket = F.pmod(F.pmod("h", F.lit(BUCKETS)) + F.when(F.col("h") < 0, 2**64 % BUCKETS).otherwise(0), F.lit(BUCKETS))
+    out = np.zeros(BUCKETS)
+    for r in counts.where(~F.col("h").isin(frequent)).groupBy(bucket.cast("int").alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        out[r.bucket] = r.n
+    return out
+
+
 def _average(parts: DataFrame, into: int) -> DataFrame:
     """Sum weighted blocks; a task holds one sum a block, however many rows come."""
 
@@ -157,9 +172,9 @@ def _average(parts: DataFrame, into: int) -> DataFrame:
     return parts.repartition(into, "block", "salt").mapInArrow(add, parts.schema)
 
 
-def train(docs: DataFrame, rounds: int = 2, rate: float = 0.15, masked: float = 1 / 7) -> tuple[list[int], np.ndarray]:
-    """The frequent words and the weights."""
-    frequent, weights = frequent_words(docs), start()
+def train(docs: DataFrame, frequent: list[int], rounds: int = 2, rate: float = 0.15, masked: float = 1 / 7) -> np.ndarray:
+    """The weights."""
+    weights = start()
     bar = U(int(masked * 2**64))
     for turn in range(rounds):
         given, step = weights, rate / (1 + turn)
@@ -201,7 +216,7 @@ def train(docs: DataFrame, rounds: int = 2, rate: float = 0.15, masked: float =
         sums = _average(_average(parts, 16), 4).orderBy("block").collect()  # one copy of the weights
         if sums:
             weights = np.concatenate([np.frombuffer(r.cells, np.float64) / r.weight for r in sums]).astype(np.float32)
-    return frequent, weights
+    return weights
 
 
 def lm_score(docs: DataFrame, rounds: int = 2) -> DataFrame:
@@ -211,7 +226,10 @@ def lm_score(docs: DataFrame, rounds: int = 2) -> DataFrame:
     Null or empty text: 0 words, 0.0, and null per word. Repeated rows count each in training and get equal
     scores. No rows in, none out. Other columns are neither read nor returned.
     """
-    frequent, weights = train(docs, rounds)
+    counts = stage(word_counts(docs), "words")
+    frequent = frequent_words(counts)
+    sizes = np.log(np.maximum(bucket_sizes(counts, frequent), 1))
+    weights = train(docs, frequent, rounds)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, tokens = views(weights.copy()), Tokens(frequent)
@@ -219,13 +237,24 @@ def lm_score(docs: DataFrame, rounds: int = 2) -> DataFrame:
             for part in slices(batch):
                 w = words(part.column(1))
                 ids = tokens(w.hashes)
-                total = np.concatenate(([0.0], np.cumsum(log_probabilities(p, windows(ids, w.first), ids))))
+                logs = log_probabilities(p, windows(ids, w.first), ids)
+                rare = np.flatnonzero(ids >= tokens.first)
+                logs[rare] -= sizes[ids[rare] - tokens.first]
+                total = np.concatenate(([0.0], np.cumsum(logs)))
                 n, own = w.count.astype(np.int64), total[w.first[1:]] - total[w.first[:-1]]
                 own[n == 0] = 0.0
-                mean = pa.array(own / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(own), mean], ["doc_id", "n_words", "log_likelihood", "per_word"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, w.first).astype(np.int32)), pa.array(w.hashes[rare].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(own), lists], ["doc_id", "n_words", "own", "rare"])
 
-    return _texts(docs).mapInArrow(score, "doc_id long, n_words long, log_likelihood double, per_word double")
+    scored = _texts(docs).mapInArrow(score, "doc_id long, n_words long, own double, rare array<long>")
+    scored = stage(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    shares = (
+        scored.select("row", F.explode("rare").alias("h")).join(counts, "h")
+        .groupBy("row").agg(F.sum(F.log("n")).alias("share")).withColumnRenamed("row", "of_row")
+    )
+    out = scored.select("row", "doc_id", "n_words", "own").join(shares, F.col("row") == F.col("of_row"), "left")
+    out = out.select("doc_id", "n_words", (F.col("own") + F.coalesce("share", F.lit(0.0))).alias("log_likelihood"))
+    return out.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
-__all__ = ["Tokens", "frequent_words", "lm_score", "log_probabilities", "stage", "start", "train", "train_step", "views", "windows"]
+__all__ = ["Tokens", "bucket_sizes", "frequent_words", "lm_score", "log_probabilities", "stage", "start", "train", "train_step", "views", "windows", "word_counts"]

@@ -215,6 +215,20 @@ def test_lm_prefers_its_language(spark):
     assert got[0] > got[900] + 0.5
 
 
+def test_lm_gives_each_rare_word_its_own_probability(spark):
+    common = [f"c{i}" for i in range(lm_score.VOCABULARY - lm_score.BUCKETS - 1)]
+    other = [f"rare{i}" for i in range(400)]
+    bucket = dict(zip(other, (words(pa.array(other)).hashes % np.uint64(lm_score.BUCKETS)).tolist(), strict=True))
+    a = other[0]
+    b = next(x for x in other[1:] if bucket[x] == bucket[a])
+    docs = [(i, " ".join(common), "en", "s", 1) for i in range(9)] + [(100, a, "en", "s", 1), *((200 + i, b, "en", "s", 1) for i in range(3))]
+    got = {r.doc_id: r.log_likelihood for r in lm_score.lm_score(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert np.isclose(got[200] - got[100], np.log(3), atol=1e-9)
+    counts = lm_score.word_counts(spark.createDataFrame(docs, SCHEMA))
+    sizes = lm_score.bucket_sizes(counts, lm_score.frequent_words(counts))
+    assert sizes[bucket[a]] == sizes.sum() == 4
+
+
 def test_patience_alignment():
     a, b = [9, 1, 2, 8, 3, 4, 5, 7], [1, 2, 3, 4, 5]
     assert [y for _, y in license_scan.patience(a, b)] == [0, 1, 2, 3, 4]
