@@ -4,9 +4,9 @@ The network sees ``SIDE`` words on either side of a position, never the word the
 probability in two steps (its group, then its place in the group). The network knows the frequent words and buckets
 of all others; a word of a bucket has the bucket's probability times the word's share of the bucket's words in the
 corpus, from a table of counts that has every word and is joined by hash. A text's score is the sum of the logarithms
-of these probabilities over all its words. Training masks a part of all positions of every text at a time, in tasks
-that each improve the common weights on their own rows, after which the weights are averaged over tasks in two levels
-of grouped sums.
+of these probabilities over all its words. Training deals all positions of every text into sevenths and masks some of
+these each round, so that every position is a target once, in tasks that each improve the common weights on their own
+rows, after which the weights are averaged over tasks in two levels of grouped sums.
 """
 
 from __future__ import annotations
@@ -152,6 +152,18 @@ def bucket_sizes(counts: DataFrame, frequent: list[int]) -> np.ndarray:
     return out
 
 
+def targets(hashes: np.ndarray, first: np.ndarray, ids: np.ndarray, turn: int, rounds: int, folds: int) -> np.ndarray:
+    """The positions masked in a turn. Over all rounds each position is masked once; in ``rounds`` beyond ``folds``, again.
+
+    A position's fold hangs on its word, its place and its text's id.
+    """
+    count = np.diff(first)
+    order = (np.arange(len(hashes)) - np.repeat(first[:-1], count)).astype(U)
+    own = np.repeat(mix(ids.astype(np.int64).view(U) + U(1)), count)
+    fold = mix(hashes + order * U(0x9E3779B97F4A7C15) + own) % U(folds)
+    return np.flatnonzero(np.isin(fold, [f % folds for f in range(max(folds, rounds)) if f % rounds == turn]))
+
+
 def _average(parts: DataFrame, into: int) -> DataFrame:
     """Sum weighted blocks; a task holds one sum a block, however many rows come."""
 
@@ -175,11 +187,11 @@ def _average(parts: DataFrame, into: int) -> DataFrame:
 def train(docs: DataFrame, frequent: list[int], rounds: int = 2, rate: float = 0.15, masked: float = 1 / 7) -> np.ndarray:
     """The weights."""
     weights = start()
-    bar = U(int(masked * 2**64))
+    folds = max(1, round(1 / masked))
     for turn in range(rounds):
         given, step = weights, rate / (1 + turn)
 
-        def learn(batches: Iterator[pa.RecordBatch], given=given, step=step) -> Iterator[pa.RecordBatch]:
+        def learn(batches: Iterator[pa.RecordBatch], given=given, step=step, turn=turn) -> Iterator[pa.RecordBatch]:
             flat = given.copy()
             p, square, tokens, seen = views(flat), views(np.full(_SIZE, 1e-4, np.float32)), Tokens(frequent), 0
             waiting, waits = [], 0
@@ -192,10 +204,9 @@ def train(docs: DataFrame, frequent: list[int], rounds: int = 2, rate: float = 0
 
             for batch in batches:
                 for part in slices(batch):
-                    w = words(part.column(0))
+                    w = words(part.column(1))
                     ids = tokens(w.hashes)
-                    order = np.arange(len(ids)) - np.repeat(w.first[:-1], w.count)
-                    pick = np.flatnonzero(mix(w.hashes + order.astype(U) * U(0x9E3779B97F4A7C15) + U(turn)) < bar)
+                    pick = targets(w.hashes, w.first, part.column(0).fill_null(0).to_numpy(zero_copy_only=False), turn, rounds, folds)
                     if len(pick):
                         waiting.append((windows(ids, w.first)[:, pick], ids[pick]))
                         waits, seen = waits + len(pick), seen + len(pick)
@@ -212,7 +223,7 @@ def train(docs: DataFrame, frequent: list[int], rounds: int = 2, rate: float = 0
                     ["block", "salt", "weight", "cells"],
                 )
 
-        parts = _texts(docs).select("text").mapInArrow(learn, "block long, salt long, weight double, cells binary")
+        parts = _texts(docs).mapInArrow(learn, "block long, salt long, weight double, cells binary")
         sums = _average(_average(parts, 16), 4).orderBy("block").collect()  # one copy of the weights
         if sums:
             weights = np.concatenate([np.frombuffer(r.cells, np.float64) / r.weight for r in sums]).astype(np.float32)
@@ -257,4 +268,4 @@ def lm_score(docs: DataFrame, rounds: int = 2) -> DataFrame:
     return out.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
-__all__ = ["Tokens", "bucket_sizes", "frequent_words", "lm_score", "log_probabilities", "stage", "start", "train", "train_step", "views", "windows", "word_counts"]
+__all__ = ["Tokens", "bucket_sizes", "frequent_words", "lm_score", "log_probabilities", "stage", "start", "targets", "train", "train_step", "views", "windows", "word_counts"]

@@ -229,6 +229,23 @@ def test_lm_gives_each_rare_word_its_own_probability(spark):
     assert sizes[bucket[a]] == sizes.sum() == 4
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 3, 7])
+def test_lm_training_masks_every_position_once(rounds):
+    hashes = np.tile(np.arange(1000, dtype=np.uint64), 3)
+    first, ids = np.array([0, 1000, 1000, 2000, 3000]), np.array([4, 5, 6, 7])
+    turns = [lm_score.targets(hashes, first, ids, t, rounds, 7) for t in range(rounds)]
+    assert np.sort(np.concatenate(turns)).tolist() == list(range(3000))
+    if rounds > 1:  # copies of a text leave out other places
+        assert set(turns[0][turns[0] < 1000]) != {x - 1000 for x in turns[0] if 1000 <= x < 2000}
+
+
+def test_lm_learns_from_every_place(spark):
+    """A corpus of one word at one place trains too."""
+    docs = spark.createDataFrame([(i, "only", "en", "s", 1) for i in range(2)], SCHEMA)
+    frequent = lm_score.frequent_words(lm_score.word_counts(docs))
+    assert not np.array_equal(lm_score.train(docs, frequent, rounds=1), lm_score.start())
+
+
 def test_patience_alignment():
     a, b = [9, 1, 2, 8, 3, 4, 5, 7], [1, 2, 3, 4, 5]
     assert [y for _, y in license_scan.patience(a, b)] == [0, 1, 2, 3, 4]
