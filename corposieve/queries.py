@@ -72,7 +72,7 @@ def exact_clone_groups(spark, d):
 
 
 def param_clump(spark, d):
-    baskets = _t(spark, d, "lineitem").where("l_orderkey < 2000").select("l_orderkey", F.concat_ws("|", "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("param"))
+    baskets = _t(spark, d, "lineitem").select("l_orderkey", F.concat_ws("|", "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("param"))
     found = graph.parameter_clumps(baskets, "l_orderkey", "param", 1, 3)
     return found.select("n_items", F.array_join("params", ",").alias("params"), "anchor")
 

@@ -357,3 +357,11 @@ def test_example_pack():
     spec.loader.exec_module(pack)
     r = pack.registry().rules["demo_no_sleep"]
     assert list(r.check(RustFile("fn f() { std::thread::sleep(d); }"), dict(r.params)))
+
+
+def test_param_clump_reads_all_orders(spark, tmp_path):
+    from corposieve import queries
+
+    rows = [(k, "N", "O", n) for k in (5, 6, 4000, 5000) for n in (1, 2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_returnflag string, l_linestatus string, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in queries.param_clump(spark, str(tmp_path)).collect()] == [(4, "N|O|1,N|O|2", 5000)]
