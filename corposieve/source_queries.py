@@ -73,9 +73,9 @@ def greedy_fix_apply(spark, d):
 
 
 def workspace_duplicates(spark, d):
-    """Texts of documents as string literals: those of 40 characters found three times or more."""
+    """Every line of documents as a string literal on its line: those of 40 characters found three times or more."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    text = F.regexp_replace(F.regexp_extract("text", r"^[^\n]*", 0), r'["\\]', "")
+    text = F.regexp_replace(F.regexp_replace("text", r'["\\]', ""), "\n", '");\ng("')
     body = F.concat(F.lit('fn f() { g("'), text, F.lit('"); }\n'))
     files = docs.select(F.format_string("f%012d.rs", "doc_id").alias("rel"), F.lit("rs").alias("ext"), body.alias("contents"), F.lit(None).cast("string").alias("package"), F.lit(False).alias("test_only"))
     found = engine.workspace(files, builtin(), default(builtin()), ["rust_duplicate_strings"])

@@ -365,3 +365,13 @@ def test_param_clump_reads_all_orders(spark, tmp_path):
     rows = [(k, "N", "O", n) for k in (5, 6, 4000, 5000) for n in (1, 2)]
     spark.createDataFrame(rows, "l_orderkey long, l_returnflag string, l_linestatus string, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [tuple(r) for r in queries.param_clump(spark, str(tmp_path)).collect()] == [(4, "N|O|1,N|O|2", 5000)]
+
+
+def test_workspace_duplicates_looks_at_every_line(spark, tmp_path):
+    from corposieve import source_queries
+
+    same = "a line that is long enough to be a literal of its own"
+    rows = [(i, f"first {i}\n\n{same}\nlast {i}") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = source_queries.workspace_duplicates(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(f"f{i:012d}.rs", 3) for i in (1, 2)]
