@@ -109,7 +109,7 @@ def baseline_multiset_diff(spark, d):
 
 
 def _event_directives(spark, d):
-    e = _event_findings(spark, d).where("line % 97 = 0")
+    e = _event_findings(spark, d).where("rule = 'error'")
     wild = F.col("line") % 2 == 0
     return e.select("rel", "line", (F.col("line") + 400).alias("end_line"), F.when(F.col("line") % 5 == 0, "file").otherwise("block").alias("scope"), F.when(wild, F.array().cast("array<string>")).otherwise(F.array("rule")).alias("rules"), F.create_map().cast("map<string,int>").alias("values"), wild.alias("wildcard"), F.lit("r").alias("reason"), F.lit(None).cast("string").alias("error"))
 
@@ -119,7 +119,7 @@ def suppression_range_anti(spark, d):
 
 
 def stale_suppressions(spark, d):
-    return findings.stale_directives(_event_directives(spark, d), _event_findings(spark, d).where("fixable and line % 7 = 0"))
+    return findings.stale_directives(_event_directives(spark, d), _event_findings(spark, d))
 
 
 _OVERRIDES = [(["1-*"], 10), (["[12]-*"], 20), (["*-H*"], 30)]
@@ -169,7 +169,9 @@ def recursive_self_reference(spark, d):
 
 
 def _edges(spark, d):
-    s = _t(spark, d, "supplier").select((F.col("s_suppkey") % 40).alias("source"), ((F.col("s_suppkey") * 7 + F.col("s_nationkey")) % 40).alias("target"), (F.col("s_suppkey") % 3 == 0).alias("requires_test"))
+    s = _t(spark, d, "supplier")
+    n = s.agg((F.max("s_suppkey") + 1).alias("n"))
+    s = s.crossJoin(F.broadcast(n)).select(F.col("s_suppkey").alias("source"), ((F.col("s_suppkey") * 7 + F.col("s_nationkey")) % F.col("n")).alias("target"), (F.col("s_suppkey") % 3 == 0).alias("requires_test"))
     return s.where("source != target").distinct()
 
 

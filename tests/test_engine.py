@@ -375,3 +375,19 @@ def test_workspace_duplicates_looks_at_every_line(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = source_queries.workspace_duplicates(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(f"f{i:012d}.rs", 3) for i in (1, 2)]
+
+
+def test_suppressions_and_graph_take_whole_tables(spark, tmp_path):
+    from corposieve import queries
+
+    events = [(1, 0, "error", 1.0), (2, 0, "click", 1.0), (12, 0, "error", 1.0), (1001, 1, "error", 1.0), (1002, 2, "click", 1.0)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    left = queries.suppression_range_anti(spark, str(tmp_path)).collect()
+    assert sorted((r.rel, r.line) for r in left) == [("u0", 1), ("u0", 2), ("u1", 1001), ("u2", 1002)]
+    stale = queries.stale_suppressions(spark, str(tmp_path)).collect()
+    assert sorted((r.rel, r.line, r.rule) for r in stale) == [("u0", 12, "*"), ("u1", 1001, "error")]
+    spark.createDataFrame([(k, k % 25) for k in range(100)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    step, seen = {k: (k * 7 + k % 25) % 100 for k in range(100)}, {1, 2}
+    while more := {step[k] for k in seen} - seen:
+        seen |= more
+    assert {r.node for r in queries.test_closure(spark, str(tmp_path)).collect()} == seen
