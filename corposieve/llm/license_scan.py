@@ -77,8 +77,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
     A text carries a template if at least ``coverage`` of the template's words are aligned with words of the text
     that span at most ``stretch`` times as many words as are aligned. license is the one most covered (ties: more
     words, then its name), with its place in words counted from 0; licenses has all, by name. Words are runs of
-    ASCII letters and digits or other letters, A-Z folded. The search for places to align is exact: it takes
-    each stretch of text that holds enough words of the template.
+    ASCII letters and digits or other letters, A-Z folded. Each stretch of text that holds enough words of the
+    template is aligned, together with those around it and, where these don't carry it, by itself.
 
     Null or empty text, or one without a license: nulls and an empty list. Repeated rows get equal results; no
     rows in, none out. Other columns are neither read nor returned.
@@ -104,20 +104,36 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
                     ok = (b - a < stretch * len(want)) & (text[a] == text[b])
                     reach = ceil(stretch * len(want))
                     spans: list[list[int]] = []
-                    for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+                    runs = list(zip(a[ok].tolist(), b[ok].tolist(), strict=True))
+                    for x, y in runs:
                         x, y = max(int(w.first[text[x]]), y - reach), min(int(w.first[text[x] + 1]), x + reach + 1)
                         if spans and text[spans[-1][0]] == text[x] and x < spans[-1][1]:
                             spans[-1][1] = max(y, spans[-1][1])
                         else:
                             spans.append([x, y])
+
+                    def align(p: int, q: int, name=name, want=want, need=need) -> float:
+                        """Align words p to q; the coverage, or 0 if they don't carry the template."""
+                        pairs = patience(w.hashes[p:q].tolist(), want.tolist())
+                        if len(pairs) < need or pairs[-1][0] - pairs[0][0] + 1 > stretch * len(pairs):
+                            return 0.0
+                        row = int(text[p])
+                        hit = (len(pairs) / len(want), len(pairs), p + pairs[0][0] - int(w.first[row]), p + pairs[-1][0] - int(w.first[row]))
+                        if name not in found.setdefault(row, {}) or hit[:2] > found[row][name][:2]:
+                            found[row][name] = hit
+                        return hit[0]
+
+                    k = 0
                     for x, y in spans:
-                        for p, q in ([(x, y)] if y - x <= 3 * reach else [(c, min(y, c + 2 * reach)) for c in range(x, y, max(1, reach // 4))]):
-                            pairs = patience(w.hashes[p:q].tolist(), want.tolist())
-                            if len(pairs) >= need and pairs[-1][0] - pairs[0][0] + 1 <= stretch * len(pairs):
-                                row = int(text[p])
-                                hit = (len(pairs) / len(want), len(pairs), p + pairs[0][0] - int(w.first[row]), p + pairs[-1][0] - int(w.first[row]))
-                                if name not in found.setdefault(row, {}) or hit[:2] > found[row][name][:2]:
-                                    found[row][name] = hit
+                        whole = [(x, y)] if y - x <= 3 * reach else [(c, min(y, c + 2 * reach)) for c in range(x, y, max(1, reach // 4))]
+                        together = most = max(align(p, q) for p, q in whole)
+                        tried = x - len(want)
+                        while k < len(runs) and runs[k][0] < y:
+                            p, q = runs[k]
+                            k += 1
+                            if not together and most < 1 and p - tried >= len(want) // 32:  # the template may be there twice: a stretch by itself has anchors
+                                tried = p
+                                most = max(most, *(align(*z) for z in {(p, q + 1), (p, min(y, p + reach)), (max(x, q + 1 - reach), q + 1)}))
                 best: list[tuple] = []
                 for row in range(part.num_rows):
                     own_ = found.get(row)

@@ -272,6 +272,15 @@ def test_license_scan(spark):
     assert got[5].licenses == ["Apache-2.0-notice", "MIT-notice"]
 
 
+def test_license_notice_twice_in_a_row(spark):
+    rng = random.Random(10)
+    notice, filler = "Licensed under the Apache License, Version 2.0", prose(rng, 40)
+    docs = [(1, f"{filler} {notice} see file there {notice} {filler}", "", "", 1), (2, f"{filler} {notice} {notice} {notice} {filler}", "", "", 1)]
+    got = {r.doc_id: r for r in license_scan.license_scan(frame(spark, docs)).collect()}
+    assert all(got[i].license == "Apache-2.0-notice" and got[i].coverage == 1 for i in (1, 2))
+    assert [got[i].last_word - got[i].first_word for i in (1, 2)] == [7, 7]
+
+
 def test_mixing_by_brute_force(spark, rows):
     weights = {"s0": 0.2, "s1": 0.5, "s2": 0.3}
     got = Counter(r.doc_id for r in mixing.mix(frame(spark, rows), weights=weights, epochs=4.0).collect())
