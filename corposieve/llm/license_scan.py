@@ -6,6 +6,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from math import ceil
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from corposieve.llm._text import slices, words
 _SEPARATOR = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 TEMPLATES = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "MIT-notice": "Released under the MIT License",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
@@ -28,6 +30,9 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
 
+#: The full texts beside this module, by their names.
+TEMPLATES |= {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
 
 def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     """Aligned positions: anchors are values unique to both, in the longest increasing run; gaps are aligned alike.

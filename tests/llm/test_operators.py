@@ -281,6 +281,18 @@ def test_license_notice_twice_in_a_row(spark):
     assert [got[i].last_word - got[i].first_word for i in (1, 2)] == [7, 7]
 
 
+def test_license_bodies(spark):
+    rng = random.Random(13)
+    names = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+    docs = []
+    for i, k in enumerate(names):
+        edited = " ".join(w for j, w in enumerate(license_scan.TEMPLATES[k].split()) if j % 17 != 3)
+        docs.append((i, f"{prose(rng, 100)}\n{edited}\n{prose(rng, 100)}", "", "", 1))
+    got = {r.doc_id: r for r in license_scan.license_scan(frame(spark, docs)).collect()}
+    assert all(k in got[i].licenses and got[i].coverage > 0.9 for i, k in enumerate(names))
+    assert [got[i].license for i in (0, 4, 5, 6, 7)] == [names[i] for i in (0, 4, 5, 6, 7)]  # Apache-2.0 and MPL-2.0 hold their notices whole
+
+
 def test_mixing_by_brute_force(spark, rows):
     weights = {"s0": 0.2, "s1": 0.5, "s2": 0.3}
     got = Counter(r.doc_id for r in mixing.mix(frame(spark, rows), weights=weights, epochs=4.0).collect())
