@@ -326,6 +326,19 @@ def test_decontamination(spark):
     assert {r.doc_id for r in left.collect()} == set(range(60)) and left.columns == frame(spark, docs).columns
 
 
+def test_decontamination_by_short_items_and_blind_pairs(spark):
+    rng = random.Random(14)
+    items = [(n, prose(rng, n, 10**9)) for n in range(1, 13)]
+    docs = [(n, f"{prose(rng, 20)} {text.upper()}. {prose(rng, 20)}", "", "", 1) for n, text in items]
+    for k in (2, 3):  # two changes that every place of the first two masks reads
+        w = items[11][1].split()
+        w[k] = w[k + 1] = "changed"
+        docs.append((100 + k, f"{prose(rng, 20)} {' '.join(w)} {prose(rng, 20)}", "", "", 1))
+    docs.append((200, prose(rng, 60), "", "", 1))
+    got = decontaminate.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r.equal_words for r in got if r.contaminated} == {**{n: n for n in range(1, 13)}, 102: 10, 103: 10}
+
+
 def test_sharding_law(spark, rows):
     got = sharding.shard(frame(spark, rows)).collect()
     by = defaultdict(list)
