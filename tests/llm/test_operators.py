@@ -215,18 +215,72 @@ def test_lm_prefers_its_language(spark):
     assert got[0] > got[900] + 0.5
 
 
-def test_lm_gives_each_rare_word_its_own_probability(spark):
+@pytest.mark.parametrize("head", [1 << 18, 5])
+def test_lm_scores_by_plain_loops(spark, monkeypatch, head):
+    """Word by word: the network's probability, and for rare words what the rest of the corpus has, or letters."""
+    monkeypatch.setattr(lm_score.frequent_first, "__defaults__", (head,))
+    rng = random.Random(15)
     common = [f"c{i}" for i in range(lm_score.VOCABULARY - lm_score.BUCKETS - 1)]
-    other = [f"rare{i}" for i in range(400)]
-    bucket = dict(zip(other, (words(pa.array(other)).hashes % np.uint64(lm_score.BUCKETS)).tolist(), strict=True))
-    a = other[0]
-    b = next(x for x in other[1:] if bucket[x] == bucket[a])
-    docs = [(i, " ".join(common), "en", "s", 1) for i in range(9)] + [(100, a, "en", "s", 1), *((200 + i, b, "en", "s", 1) for i in range(3))]
-    got = {r.doc_id: r.log_likelihood for r in lm_score.lm_score(spark.createDataFrame(docs, SCHEMA)).collect()}
-    assert np.isclose(got[200] - got[100], np.log(3), atol=1e-9)
-    counts = lm_score.word_counts(spark.createDataFrame(docs, SCHEMA))
-    sizes = lm_score.bucket_sizes(counts, lm_score.frequent_words(counts))
-    assert sizes[bucket[a]] == sizes.sum() == 4
+    docs = [(i, " ".join(common), "en", "s", 1) for i in range(40)]
+    docs += [(100 + i, " ".join(rng.choice([rng.choice(common), f"Rare{rng.randrange(60)}", f"\u00e9{i}x"]) for _ in range(40)), "en", "s", 1) for i in range(30)]
+    docs += [(200, docs[40][1], "en", "s", 1), (201, "twice twice twice", "en", "s", 1), (202, "", "en", "s", 1), (203, None, "en", "s", 1)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    model = lm_score.fit(df)
+    held = [(300, f"c1 nobody Rare1 c2 {docs[41][1]}", "en", "s", 1), (301, "c3 c4 qqq", "en", "s", 1)]
+    got = {r.doc_id: r for r in lm_score.score(df, model, own=True).collect()} | {r.doc_id: r for r in lm_score.score(spark.createDataFrame(held, SCHEMA), model).collect()}
+
+    low = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)}).split()
+    counts = Counter(w for _, t, *_ in docs for w in low(t))
+    pairs = Counter()
+    for w, n in counts.items():
+        x = b" " + w.encode() + b" "
+        for q in zip(x, x[1:], strict=False):
+            pairs[q] += n
+    first = Counter()
+    for (x, _), n in pairs.items():
+        first[x] += n
+    one = lambda w: words(pa.array([w])).hashes[0]
+    frequent = {w for w in counts if int(one(w).view(np.int64)) in set(model.frequent)}
+    assert set(common) <= frequent and len(frequent) == len(common)
+    bucket = lambda w: int(one(w) % np.uint64(lm_score.BUCKETS))
+    sizes = Counter()
+    for w, n in counts.items():
+        if w not in frequent:
+            sizes[bucket(w)] += n
+    unseen = max(1.0, sum(n == 1 for n in counts.values()) / lm_score.BUCKETS)
+    p, tokens = lm_score.views(model.weights), lm_score.Tokens(model.frequent)
+    for d, t, *_ in docs + held:
+        w = low(t)
+        h = words(pa.array([t or ""]))
+        ids = tokens(h.hashes)
+        net = lm_score.log_probabilities(p, lm_score.windows(ids, h.first), ids)
+        mine = Counter(w) if d < 300 else Counter()
+        want = 0.0
+        for x, log in zip(w, net, strict=True):
+            want += log
+            if x not in frequent:
+                b = b" " + x.encode() + b" "
+                spelled = sum(np.log((pairs[q] + 0.1) / (first[q[0]] + 25.6)) for q in zip(b, b[1:], strict=False))
+                others = sum(n for y, n in mine.items() if y not in frequent and bucket(y) == bucket(x))
+                want += np.log((counts[x] - mine[x] + unseen * lm_score.BUCKETS * np.exp(spelled)) / (sizes[bucket(x)] - others + unseen))
+        assert got[d].n_words == len(w) and np.isclose(got[d].log_likelihood, want, rtol=1e-5, atol=1e-4)
+        assert got[d].per_word is None if not w else np.isclose(got[d].per_word, want / len(w), rtol=1e-5)
+    assert np.isclose(got[200].log_likelihood, got[100].log_likelihood)
+
+
+def test_lm_puts_junk_and_shuffled_words_below_held_out_prose(spark):
+    rng = random.Random(16)
+    nouns, verbs = [f"n{i}oun" for i in range(300)], [f"ve{i}rb" for i in range(300)]
+    line = lambda: " ".join(f"the {rng.choice(nouns)} has {rng.choice(verbs)} a {rng.choice(nouns)} ." for _ in range(12))
+    model = lm_score.fit(spark.createDataFrame([(i, line(), "en", "s", 1) for i in range(600)], SCHEMA))
+    held = []
+    for i in range(20):
+        w = line().split()
+        held += [(i, " ".join(w), "en", "s", 1), (100 + i, " ".join(rng.sample(w, len(w))), "en", "s", 1)]
+        held.append((200 + i, " ".join("".join(rng.choice("bcdfghjklmpqrtwxz") for _ in x) for x in w), "en", "s", 1))
+    got = {r.doc_id: r.per_word for r in lm_score.score(spark.createDataFrame(held, SCHEMA), model).collect()}
+    for i in range(20):
+        assert got[i] > got[100 + i] + 0.3 and got[100 + i] > got[200 + i] + 3
 
 
 @pytest.mark.parametrize("rounds", [1, 2, 3, 7])
@@ -242,8 +296,7 @@ def test_lm_training_masks_every_position_once(rounds):
 def test_lm_learns_from_every_place(spark):
     """A corpus of one word at one place trains too."""
     docs = spark.createDataFrame([(i, "only", "en", "s", 1) for i in range(2)], SCHEMA)
-    frequent = lm_score.frequent_words(lm_score.word_counts(docs))
-    assert not np.array_equal(lm_score.train(docs, frequent, rounds=1), lm_score.start())
+    assert not np.array_equal(lm_score.fit(docs, rounds=1).weights, lm_score.start())
 
 
 def test_patience_alignment():
