@@ -72,8 +72,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
     )
     hits = stage(hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonal")).alias("hits")).withColumnRenamed("doc_id", "hit_id"), "hits")
-    met = docs.join(bounded(hits, weight=F.size("hits")), F.col("doc_id").eqNullSafe(F.col("hit_id"))).select("doc_id", word_hashes(F.col("text")).alias("h"), F.explode("hits").alias("hit"))
-    met = met.select("doc_id", "h", "hit.*").join(bounded(items.withColumnRenamed("item_id", "of_item"), weight=F.size("item")), F.col("item_id").eqNullSafe(F.col("of_item")))
+    met = docs.join(bounded(hits), F.col("doc_id").eqNullSafe(F.col("hit_id"))).select("doc_id", word_hashes(F.col("text")).alias("h"), F.explode("hits").alias("hit"))
+    met = met.select("doc_id", "h", "hit.*").join(bounded(items.withColumnRenamed("item_id", "of_item")), F.col("item_id").eqNullSafe(F.col("of_item")))
     least = F.least(F.lit(EQUAL), F.ceil(F.size("item") * EQUAL / WINDOW))
     found = met.select("doc_id", "item_id", _best(F.col("h"), F.col("item"), F.col("diagonal")).alias("equal"), least.alias("least")).where("equal >= least").drop("least")
     if not items.where(F.size("item") < WINDOW).isEmpty():

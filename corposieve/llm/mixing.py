@@ -35,32 +35,36 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "m
     ``weights``: target share of rows by source (normalised; sources not named get none). By default a source of n
     rows weighs n ** 0.5. A row's mean count is ``epochs * rows * weight / rows of its source``; its count is the
     inverse of that Poisson distribution at a number hashed from ``seed`` and doc_id. Returns the columns of
-    ``docs`` with ``copy`` (from 1; such a column of docs is replaced), in an order hashed from seed, doc_id and
-    copy.
+    ``docs`` with ``copy`` (from 1; such a column of docs is replaced), shuffled globally by
+    a hash of seed, doc_id and copy (of rows without a doc_id, of all columns).
 
     Rows that share a doc_id (or have none) share a count. A null source is a source of its own, not named by
     ``weights``. Text isn't looked at. No rows in, none out.
 
     Plan: sources are counted with map-side aggregation (a hot one costs a row a task); the table of rates has a
-    row a source and is broadcast if its counted rows are few. The one shuffle of texts is the global one.
+    row a source and is broadcast if it is measured to be small. The one shuffle of texts is the global one: rows go to
+    the partition of their hash and are sorted there by it, so that no sample of them is drawn first.
     """
     keep = [c for c in docs.columns if c != "copy"]
-    n = docs.groupBy(F.col(source).cast("string").alias("_s")).agg(F.count("*").alias("_n"))
+    key = F.col(source).cast("string")
+    n = docs.groupBy(key.alias("_mix_source")).agg(F.count("*").alias("n"))
     if weights is None:
-        n = n.withColumn("_w", F.sqrt("_n"))
+        n = n.withColumn("w", F.sqrt("n"))
     else:
-        given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "_s string, _w double")
-        n = n.join(F.broadcast(given), "_s", "left").fillna(0.0, ["_w"])  # as many rows as the caller's dictionary
+        given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "_mix_source string, w double")
+        n = n.join(F.broadcast(given), "_mix_source", "left").fillna(0.0, ["w"])  # as many rows as the caller's dictionary
     n = stage(n, "sources")
-    rows, total = n.agg(F.sum("_n"), F.sum("_w")).first()
-    rate = F.lit(float(epochs * (rows or 0))) * F.col("_w") / F.lit(float(total or 1)) / F.col("_n")
+    rows, total = n.agg(F.sum("n"), F.sum("w")).first()
+    rate = F.lit(float(epochs * (rows or 0))) * F.col("w") / F.lit(float(total or 1)) / F.col("n")
     pieces = F.greatest(F.lit(1), F.ceil(rate / PIECE)).cast("int")
-    rates = stage(n.select("_s", pieces.alias("_k"), poisson_cdf(rate / pieces).alias("_cdf")), "rates")
+    rates = stage(n.select("_mix_source", pieces.alias("pieces"), poisson_cdf(rate / pieces).alias("cdf")).select("_mix_source", F.struct("pieces", "cdf").alias("_mix")), "rates")
     count = F.aggregate(
-        F.sequence(F.lit(1), F.col("_k")), F.lit(0), lambda acc, k: acc + F.size(F.filter("_cdf", lambda c: c <= uniform(seed, F.col("doc_id"), k)))
+        F.sequence(F.lit(1), F.col("_mix.pieces")), F.lit(0), lambda acc, k: acc + F.size(F.filter("_mix.cdf", lambda c: c <= uniform(seed, F.col("doc_id"), k)))
     )
-    single = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    joined = docs.select(*keep).join(bounded(rates, weight=F.size("_cdf")), F.col(source).cast("string").eqNullSafe(F.col("_s"))).withColumn("_u", uniform(seed, F.col("doc_id"), F.lit(1)))
-    times = F.when(F.col("_k") == 1, single).otherwise(count)
-    copies = joined.withColumn("_t", times).where("_t > 0").select(*keep, F.explode(F.sequence(F.lit(1), F.col("_t"))).alias("copy"))
-    return copies.orderBy(F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("copy").cast("string")).cast("binary")))
+    single = F.size(F.filter("_mix.cdf", lambda c: c <= F.col("_mix_u")))
+    joined = docs.select(*keep).join(bounded(rates), key.eqNullSafe(F.col("_mix_source"))).withColumn("_mix_u", uniform(seed, F.col("doc_id"), F.lit(1)))
+    times = F.when(F.col("_mix.pieces") == 1, single).otherwise(count)
+    copies = joined.withColumn("_mix_times", times).where("_mix_times > 0").select(*keep, F.explode(F.sequence(F.lit(1), F.col("_mix_times"))).alias("copy"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.xxhash64(*keep).cast("string")))  # rows without an id aren't all of one place
+    order = F.md5(F.concat_ws(":", F.lit(seed + "-order"), own, F.col("copy").cast("string")).cast("binary"))
+    return copies.repartition(order).sortWithinPartitions(order)

@@ -153,7 +153,10 @@ c0 AS (SELECT r, q, bit_xor(xor(xor(xor(CASE WHEN v & 1 > 0 THEN a[1] ELSE 0 END
   UNION ALL SELECT r, strlen(text) // 256, a[9] FROM x JOIN far ON d = strlen(text) % 256),
 c AS (SELECT r, bit_xor(CASE WHEN (s >> j) & 1 = 1 THEN m[j + 1] ELSE 0 END) AS c FROM (SELECT r, s, m, unnest(range(0, 32)) AS j FROM c0 JOIN pow USING (q)) GROUP BY r),
 k AS (SELECT doc_id, source, strlen(text)::BIGINT + 8 AS size, xor(c, 4294967295)::BIGINT AS text_crc32, md5('shard:' || coalesce(doc_id::VARCHAR, '-')) AS key FROM x JOIN c USING (r)),
-o AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size, text_crc32) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS f FROM k),
+m AS (SELECT source AS of_source, n, list_filter(range(a, a + 100), lambda x: gcd(x, n) = 1)[1] AS step
+  FROM (SELECT source, count(*) AS n, greatest(1, round(count(*) * 0.6180339887498949)::BIGINT) AS a FROM k GROUP BY source)),
+i AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size, text_crc32) - 1 AS i FROM k),
+o AS (SELECT i.*, (2 * (i.i::HUGEINT * step % n)::BIGINT + 1)::DOUBLE / (2 * n)::DOUBLE AS f FROM i JOIN m ON i.source IS NOT DISTINCT FROM of_source),
 p AS (SELECT *, row_number() OVER (ORDER BY f, key, source NULLS FIRST, doc_id NULLS FIRST, size, text_crc32) - 1 AS pos, count(*) OVER () AS total FROM o)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * 24 // total)::INTEGER AS shard, (pos - ((pos * 24 // total) * total + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard, source FROM p""",
     "op10_warc": """

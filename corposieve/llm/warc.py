@@ -65,14 +65,14 @@ def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     return pack.compress(data) + pack.flush()
 
 
-def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str, origin: int | None, row: str, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The records of one page; ``origin``: the page that it revisits."""
+def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str, origin: int | None, row: str, segment: int = SEGMENT, named: bool = True) -> Iterator[bytes]:
+    """The records of one page; ``origin``: the page that it revisits, whose record has an id known by its page if ``named``."""
     own, target = record_id(f"page:{row}"), " ".join((url or "about:blank").split()) or "about:blank"
     base = [("WARC-Record-ID", own), ("WARC-Date", _DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Bytes", str(len(payload)))]
     base += [("X-Page-Id", str(page_id))] if page_id is not None else []
     if origin is not None:
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(f"page:{origin}:{digest}")), ("X-Refers-To-Page", str(origin))]
+        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *([("WARC-Refers-To", record_id(f"page:{origin}:{digest}"))] if named else []), ("X-Refers-To-Page", str(origin))]
         yield record("revisit", [*base, *more, ("Content-Type", "application/http;msgtype=response")], head)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -123,21 +123,33 @@ def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block[: int(fields["content-length"])]
 
 
+def whole(name: str, total: int | None, parts: list[dict]) -> bytes:
+    """Join a record's segments, sorted by number, in time linear in their bytes; raises if one is missing or the total differs."""
+    if parts[0]["segment"] is None:
+        return parts[0]["block"]
+    blocks = {p["segment"]: p["block"] for p in parts}
+    block = b"".join(blocks[k] for k in sorted(blocks))
+    if sorted(blocks) != list(range(1, len(blocks) + 1)) or len(block) != total:
+        raise ValueError(f"segments missing of {name}")
+    return block
+
+
 def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT, file_bytes: int = FILE, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as ``*.warc.gz`` under ``path``, a URI that all executors share.
 
     Of pages with equal payloads of at least ``min_bytes``, that with the smallest page_id becomes a response and
     the others revisit it. Null html is an empty payload; pages without an id are all responses and no page's
-    origin; repeated rows of the origin's own id are all responses, too. Returns the written files, ``path,
-    records``. Names hold the task's attempt, and only files of attempts that succeeded are listed: what a lost
+    origin; repeated rows of the origin's own id are all responses, too. Every record has an id of its own; a revisit
+    names its origin's record by id where there is but one. Returns the written files, ``path, records``. Names hold the task's attempt, and only files of attempts that succeeded are listed: what a lost
     or late attempt leaves isn't read. Columns other than page_id, url and html aren't written.
     """
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("_d", F.sha1(F.col("html").cast("binary"))).withColumn("_n", F.octet_length("html"))
-    first = rows.where((F.col("_n") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("_d", "_n").agg(F.min("page_id").alias("_origin"), F.max("page_id").alias("_last")).where("_origin < _last")
-    rows = rows.join(first, ["_d", "_n"], "left").withColumn("_origin", F.when(F.col("page_id") != F.col("_origin"), F.col("_origin")))
-    rows = rows.select("page_id", "url", F.when(F.col("_origin").isNull(), F.col("html")).alias("html"), "_d", F.col("_n").cast("long").alias("_n"), "_origin")
+    first = rows.where((F.col("_n") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("_d", "_n", "page_id").agg(F.count("*").alias("_rows"))
+    first = first.groupBy("_d", "_n").agg(F.min(F.struct("page_id", "_rows")).alias("_first"), F.max("page_id").alias("_last")).where("_first.page_id < _last or _first._rows > 1")
+    rows = rows.join(first, ["_d", "_n"], "left").withColumn("_origin", F.when(F.col("page_id") != F.col("_first.page_id"), F.col("_first.page_id")))
+    rows = rows.select("page_id", "url", F.when(F.col("_origin").isNull(), F.col("html")).alias("html"), "_d", F.col("_n").cast("long").alias("_n"), "_origin", F.coalesce(F.col("_first._rows") > 1, F.lit(False)).alias("_many"))
     schema = "path string, records long"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,15 +173,16 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT, file_bytes:
 
         seen = 0
         for batch in batches:
-            for page_id, url, html, hexed, length, origin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, hexed, length, origin, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     temp = f"{root}/_{part}-{tries}-{len(done)}.tmp"
                     out = fs.open_output_stream(temp, compression=None)
                 seen += 1
                 payload = (html or "").encode() if origin is None else _Length(length)
                 digest = base64.b32encode(bytes.fromhex(hexed)).decode()
-                row = f"{page_id}:{digest}" if page_id is not None else f"none:{part}:{seen}"
-                for data in records_of(page_id, url, payload, digest, origin, row, segment):
+                # only the one response of an origin is named by others; all else has an id by its place
+                row = f"{page_id}:{digest}" if page_id is not None and origin is None and not many else f"{page_id}:{digest}:{part}:{tries}:{seen}"
+                for data in records_of(page_id, url, payload, digest, origin, row, segment, not many):
                     out.write(data)
                     size, n = size + len(data), n + 1
                 if size >= file_bytes:
@@ -233,22 +246,19 @@ def read_warc(files: DataFrame, uri: str) -> DataFrame:
     alone = segments.where("segment is null").drop("segment", "total")
     part = F.struct("segment", "block")
     head = F.when(F.col("segment") == 1, F.struct("page_id", "url", "record_type", "refers_to", "bytes", "digest"))
-    joined = segments.where("segment is not null").groupBy("record_id").agg(F.collect_list(head).alias("h"), F.array_sort(F.collect_list(part)).alias("s"), F.max("total").alias("total"))
-    block = F.expr("aggregate(s, cast('' as binary), (x, y) -> concat(x, y.block))")
-    # repeated rows of a page write equal segments twice: a number counts once, and each first segment is a row
-    joined = joined.withColumn("s", F.expr("filter(s, (x, i) -> i = 0 or x.segment != s[i - 1].segment)")).withColumn("block", block)
-    complete = (F.size("s") == F.expr("s[size(s) - 1].segment")) & (F.octet_length("block") == F.col("total"))
-    joined = joined.withColumn("block", F.when(complete, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing of "), F.col("record_id")))))
-    records = alone.union(joined.select("record_id", F.explode("h").alias("h"), "block").select("record_id", "h.*", "block"))
+    joined = segments.where("segment is not null").groupBy("record_id").agg(F.max("total").alias("total"), F.array_sort(F.collect_list(part)).alias("s"), F.collect_list(head).alias("h"))
+    # a record that comes in one piece is a list of one; each first segment is a row
+    pieces = alone.select("record_id", "page_id", "url", "record_type", "refers_to", "bytes", "digest", F.lit(None).cast("long").alias("total"), F.array(F.struct(F.lit(None).cast("int").alias("segment"), "block")).alias("s"))
+    records = pieces.union(joined.select("record_id", F.explode("h").alias("h"), "total", "s").select("record_id", "h.*", "total", "s"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, payloads = [], [], []
-            for kind, size, digest, block in zip(*(batch.column(k).to_pylist() for k in (3, 5, 6, 7)), strict=True):
+            for name, kind, size, digest, total, parts in zip(*(batch.column(k).to_pylist() for k in (0, 3, 5, 6, 7, 8)), strict=True):
                 if kind == "revisit":
                     payload = None
                 else:
-                    head, _, body = block.partition(b"\r\n\r\n")
+                    head, _, body = whole(name, total, parts).partition(b"\r\n\r\n")
                     payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
                     size = len(payload)
                     if sha1_base32(payload) != digest:
