@@ -21,8 +21,8 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_model.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "source", "lang", "evidence", "host_rate", "path_rate", "p_quality", "kept")
+    out = quality_model.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", F.col("host").alias("source"), F.col("path").alias("lang"), "evidence", "host_rate", "path_rate", "p_quality", "kept")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

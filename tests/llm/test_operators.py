@@ -57,7 +57,7 @@ def frame(spark, rows, extra=True):
 OPERATORS = {
     "lines": line_dedup.line_dedup,
     "near": near_dup.near_dup,
-    "model": lambda d: quality_model.quality_classifier(d, d.select("doc_id", (F.col("doc_id") % 2).alias("quality"))),
+    "model": lambda d: quality_model.quality_verdicts(d, d.select("doc_id", (F.col("doc_id") % 2).alias("quality"))),
     "rules": quality_rules.quality_rules,
     "lm": lambda d: lm_score.lm_score(d, rounds=1),
     "license": license_scan.license_scan,
@@ -183,11 +183,55 @@ def test_quality_classifier_holds_out(spark):
         docs.append((i, text, "en", f"s{i % 5}", 1))
         if i % 2 == 0:
             labels.append((i, int(not bad)))
-    got = quality_model.quality_classifier(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    got = quality_model.quality_verdicts(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
     assert sum(r.kept == (r.doc_id % 4 != 0) for r in got) >= 396
     assert all(0 < r.p_quality < 1 and 0 < r.path_rate < 1 for r in got)
 
 
+def test_quality_by_plain_loops(spark):
+    """Host and path posteriors around each document's evidence, document by document."""
+    rng = random.Random(17)
+    docs, labels = [], []
+    for i in range(500):
+        host, path = f"h{i % 7}", f"p{i % 3}"
+        bad = rng.random() < {0: 0.7, 1: 0.1}.get(i % 7, 0.3) + (0.2 if i % 3 == 0 else 0)
+        text = " ".join(rng.choice(["bad", "worse"]) if bad and rng.random() < 0.3 else f"w{rng.randrange(200)}" for _ in range(30))
+        docs.append((i, text, path if i % 50 else None, host if i % 60 else None, 1))
+        labels.append((i, int(not bad)))
+    docs += [docs[3], (600, None, "p1", "h1", 1), (601, "", "p1", "alone", 1), (None, "w1 w2", "p1", "h1", 1)]
+    df, given = frame(spark, docs), spark.createDataFrame(labels[:250], "doc_id long, quality int")
+    got = quality_model.quality_verdicts(df, given).collect()
+    assert sum(r.kept == bool(labels[r.doc_id][1]) for r in got if r.doc_id is not None and 250 <= r.doc_id < 500) >= 225  # held out
+    p = [1 / (1 + np.exp(-r.evidence)) for r in got]
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for r, x in zip(got, p, strict=True):
+        hosts[r.host].append(x)
+        paths[r.host, r.path].append(x)
+    mean = sum(p) / len(p)
+
+    def weight(groups, centre):
+        between = sum(len(x) * (np.mean(x) - centre(k)) ** 2 - (np.var(x, ddof=1) if len(x) > 1 else 0) for k, x in groups.items()) / len(p)
+        return min(1e6, max(1.0, mean * (1 - mean) / between - 1)) if between > 0 else 1e6
+
+    of_host, of_path = weight(hosts, lambda _: mean), weight(paths, lambda k: np.mean(hosts[k[0]]))
+    for r, x in zip(got, p, strict=True):
+        h, q = hosts[r.host], paths[r.host, r.path]
+        host = (sum(h) - x + mean * of_host) / (len(h) - 1 + of_host)
+        path = (sum(q) - x + host * of_path) / (len(q) - 1 + of_path)
+        odds = r.evidence + np.log(path / (1 - path)) - np.log(mean / (1 - mean))
+        assert np.allclose((r.host_rate, r.path_rate, r.p_quality), (host, path, 1 / (1 + np.exp(-odds))), rtol=1e-6, atol=1e-9)
+        assert r.kept == (r.p_quality >= 0.5)
+    kept = quality_model.quality_classifier(df, given)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((d, t) for d, t, *_ in docs if next(r.kept for r in got if r.doc_id == d))
+
+
+def test_quality_without_labels_keeps_all(spark, odd):
+    df = frame(spark, odd)
+    got = quality_model.quality_verdicts(df, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert all(r.kept and r.evidence == 0 for r in got) and len(got) == len(odd)
+
+
 def test_lm_gradient_and_normalisation():
     rng = np.random.default_rng(2)
     flat = rng.normal(0, 0.3, len(lm_score.start())).astype(np.float32)
