@@ -1,6 +1,6 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-1. Each document's set of word shingles gives a fingerprint, its size and ``BANDS * ROWS`` minhashes. Documents
+1. Each document's set of word shingles gives a fingerprint, its size and its minhashes, as many as the threshold's bands need. Documents
    with one and the same set form a class; one of them stands for it from here on.
 2. Representatives that agree on a whole band share a bucket. In rounds, each bucket's next leaders (1, 8, 64, ...)
    are paired with its other members, except those already known to be in the leader's component; a used leader
@@ -14,28 +14,41 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corposieve.llm._common import bounded, stage
+from corposieve.llm._common import bounded, stage, unstage
 from corposieve.llm._text import U, shingles, slices, words
 
-ROWS, BANDS = 5, 36
-BATCH = 30
+#: Minhashes a document at most, those compared at once, and the chosen probability that no band of a link at the threshold agrees.
+MOST, BATCH, BAND_MISS = 200, 30, 7e-7
 _RNG = np.random.default_rng(77)
-_ODD32 = _RNG.integers(0, 2**31, (2, ROWS * BANDS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_XOR32 = _RNG.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32)
-_BAND = _RNG.integers(1, 2**63, (ROWS, BANDS), dtype=U) * U(2) + U(1)
+_ODD32 = _RNG.integers(0, 2**31, (2, MOST), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR32 = _RNG.integers(0, 2**32, MOST, dtype=np.uint32)
+_BAND = _RNG.integers(1, 2**63, (MOST, MOST), dtype=U) * U(2) + U(1)
 _BLOCK = 1 << 15
 
 
-def minhashes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(texts, ROWS * BANDS) uint32; rows of empty sets are zero."""
-    out = np.zeros((len(offsets) - 1, ROWS * BANDS), np.uint32)
+def banding(threshold: float, miss: float = BAND_MISS, most: int = MOST) -> tuple[int, int]:
+    """(rows, bands): the longest bands that miss a link at ``threshold`` with probability ``miss`` at most, of ``most`` minhashes at most."""
+    rows, found = 1, None
+    while rows <= most:
+        bands = max(1, ceil(log(miss) / log1p(-(threshold**rows)))) if threshold < 1 else 1
+        if rows * bands > most:
+            break
+        found, rows = (rows, bands), rows + 1
+    if found is None:
+        raise ValueError(f"links at {threshold} can't be found with {most} minhashes")
+    return found
+
+
+def minhashes(values: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
+    """(texts, n) uint32; rows of empty sets are zero."""
+    out = np.zeros((len(offsets) - 1, n), np.uint32)
     short = (values ^ (values >> U(32))).astype(np.uint32)
     full = np.flatnonzero(np.diff(offsets))
     at = 0
@@ -43,7 +56,7 @@ def minhashes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         to = max(at + 1, int(np.searchsorted(offsets[full + 1], offsets[full[at]] + _BLOCK, "right")))
         a, b = int(offsets[full[at]]), int(offsets[full[to - 1] + 1])
         x, starts, y, z = short[a:b], offsets[full[at:to]] - a, np.empty(b - a, np.uint32), np.empty(b - a, np.uint32)
-        for k in range(ROWS * BANDS):
+        for k in range(n):
             np.bitwise_xor(x, _XOR32[k], out=y)
             np.multiply(y, _ODD32[0, k], out=y)
             np.right_shift(y, np.uint32(15), out=z)
@@ -54,17 +67,17 @@ def minhashes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
+def least_matches(threshold: float, miss: float, marks: int) -> list[tuple[int, int]]:
     """(minhashes compared, matches below which a pair is dropped), batch by batch.
 
     With a uniform prior, the posterior of similarity >= t after m matches of n is P(Binomial(n + 1, t) <= m).
     """
     out = []
-    for n in range(BATCH, ROWS * BANDS + 1, BATCH):
+    for n in [*range(BATCH, marks, BATCH), marks]:
         total, m = 0.0, 0
         while (total := total + comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)) < miss:
             m += 1
-        out.append((n, m))
+        out.append((n, min(m, n)))
     return out
 
 
@@ -78,10 +91,13 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        last, e = e, stage(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        unstage(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == said:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
+            out._of = e
+            return out
         said = now
 
 
@@ -101,9 +117,11 @@ def near_dup(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e
     whose doc_id is null is linked with nothing: component_id null, kept true. No rows in, none out. Other columns
     are neither read nor returned.
 
-    A link is missed if no band agrees (probability below (1 - s^5)^36, 6e-7 at similarity 0.8) or its signature
-    is an outlier (``miss``).
+    A link is missed if no band agrees (probability BAND_MISS at most: rows and bands follow from ``percent``, 36 of 5 at
+    80) or its signature is an outlier (``miss``). A ``percent`` too low for MOST minhashes (below about 7) is an error.
     """
+    rows, bands = banding(percent / 100)
+    marks_ = rows * bands
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +133,7 @@ def near_dup(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e
                 for salt in (U(0x51ED270B0A1F39C1), U(0xA24BAED4963EE407)):
                     total = np.concatenate((np.zeros(1, U), np.cumsum((values ^ salt) * (values | U(1)) + (values >> U(29)))))
                     prints.append(total[offsets[1:]] - total[offsets[:-1]])
-                marks = minhashes(values, offsets)
+                marks = minhashes(values, offsets, marks_)
                 sig = pa.Array.from_buffers(pa.binary(marks.shape[1] * 4), len(marks), [None, pa.py_buffer(marks.tobytes())])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n), *map(_signed, prints), sig.cast(pa.binary())],
@@ -130,18 +148,19 @@ def near_dup(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = _marks(batch.column(1))
-            keys = np.zeros((len(marks), BANDS), U)
-            for r in range(ROWS):
+            marks = _marks(batch.column(1), marks_)
+            keys = np.zeros((len(marks), bands), U)
+            for r in range(rows):
                 keys ^= keys >> U(31)
-                keys = (keys + marks[:, r::ROWS]) * _BAND[r]
+                keys = (keys + marks[:, r::rows]) * _BAND[r, :bands]
             yield pa.RecordBatch.from_arrays(
-                [_signed((keys ^ (keys >> U(32))).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "rep"]
+                [_signed((keys ^ (keys >> U(32))).ravel()), *(pa.array(np.repeat(batch.column(k).to_numpy(), bands)) for k in (0, 2))], ["bucket", "rep", "n"]
             )
 
-    bands = stage(classes.select("rep", "sig").mapInArrow(banded, "bucket long, rep long"), "bands")
-    shared = bands.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    members = stage(bands.join(stage(shared.select("bucket"), "shared"), "bucket").distinct(), "members")
+    banded_ = stage(classes.select("rep", "sig", "n").mapInArrow(banded, "bucket long, rep long, n long"), "bands")
+    shared = stage(banded_.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket"), "shared")
+    members = stage(banded_.join(shared, "bucket").distinct(), "members")
+    unstage(banded_, shared)
     sigs = stage(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "sig"), "sigs")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,11 +171,11 @@ def near_dup(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.binary())], ["rep", "cells"])
 
     whole = stage(docs.join(bounded(sigs.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(sets, "rep long, cells binary"), "sets")
-    steps = least_matches(percent / 100, miss)
+    steps = least_matches(percent / 100, miss, marks_)
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = _marks(batch.column(2)), _marks(batch.column(3))
+            a, b = _marks(batch.column(2), marks_), _marks(batch.column(3), marks_)
             alive, matches, at = np.arange(len(a)), np.zeros(len(a), np.int64), 0
             for n, least in steps:
                 matches[alive] += (a[alive, at:n] == b[alive, at:n]).sum(axis=1)
@@ -186,41 +205,47 @@ def near_dup(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e
     twice = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
     bridges = named.join(twice, "doc_id").join(classes, ["f1", "f2", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     roots, done, count, known = None, None, 1, members.withColumn("comp", F.col("rep"))
+    used = [members]
+    sized = 100 * F.least("n", "n_lead") >= percent * F.greatest("n", "n_lead")  # sets of other sizes can't be alike enough
     while True:
         if done is None:
-            lead = known.groupBy("bucket").agg(F.min("rep").alias("lead")).withColumn("of", F.col("lead"))
+            lead = known.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("x")).select("bucket", F.col("x.rep").alias("lead"), F.col("x.rep").alias("of"), F.col("x.n").alias("n_lead"))
         else:
             lead = (
                 known.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))).where(F.col("k") <= count)
-                .select("bucket", F.col("rep").alias("lead"), F.col("comp").alias("of"))
+                .select("bucket", F.col("rep").alias("lead"), F.col("comp").alias("of"), F.col("n").alias("n_lead"))
             )
         lead = stage(lead, "lead")
-        pairs = known.join(lead, "bucket").where("rep != lead and comp != of").select(F.least("rep", "lead").alias("u"), F.greatest("rep", "lead").alias("v")).distinct()
+        pairs = known.join(lead, "bucket").where("rep != lead and comp != of").where(sized).select(F.least("rep", "lead").alias("u"), F.greatest("rep", "lead").alias("v")).distinct()
         pairs = stage(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "pairs")
+        used.append(pairs)
         done = pairs if done is None else done.union(pairs)
         survivors = stage(ends(pairs, sigs, "sig").mapInArrow(likely, "u long, v long"), "likely")
         links = ends(survivors, whole, "cells").mapInArrow(verified, "u long, v long")
-        roots = components(links.union(bridges if roots is None else roots.where("node != root").toDF("u", "v")))
+        before, roots = roots, components(links.union(bridges if roots is None else roots.where("node != root").toDF("u", "v")))
         known = (
-            known.select("bucket", "rep").join(lead.select("bucket", F.col("lead").alias("rep")), ["bucket", "rep"], "left_anti")
-            .join(roots.toDF("rep", "root"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("comp"))
+            known.select("bucket", "rep", "n").join(lead.select("bucket", F.col("lead").alias("rep")), ["bucket", "rep"], "left_anti")
+            .join(roots.toDF("rep", "root"), "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("comp"))
         )
         open_ = known.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
         known, count = stage(known.join(open_.select("bucket"), "bucket"), "known"), count * 8
+        unstage(lead, survivors, getattr(before, "_of", None))
+        used.append(known)
         if known.isEmpty():
             break
+    unstage(*used, sigs, whole)
     of_class = classes.select("f1", "f2", "n", "rep").join(roots.toDF("rep", "root"), "rep", "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("component_id"))
     out = signed.select("doc_id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
 
 
-def _marks(column: pa.Array) -> np.ndarray:
+def _marks(column: pa.Array, n: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) == 0:
-        return np.zeros((0, ROWS * BANDS), np.uint32)
+        return np.zeros((0, n), np.uint32)
     _, offsets, data = column.buffers()
     kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
     a, b = np.frombuffer(offsets, kind)[[column.offset, column.offset + len(column)]]
-    return np.frombuffer(data, np.uint8)[a:b].view(np.uint32).reshape(-1, ROWS * BANDS)
+    return np.frombuffer(data, np.uint8)[a:b].view(np.uint32).reshape(-1, n)

@@ -144,13 +144,36 @@ def test_near_dup_hot_bucket_is_whole(spark):
     test_near_dup_by_brute_force(spark, docs, 2)
 
 
-def test_pruning_keeps_links():
-    steps = near_dup.least_matches(0.8, 1e-7)
+@pytest.mark.parametrize("percent", [30, 50, 60, 80, 95, 100])
+def test_bands_follow_the_threshold(percent):
+    t = percent / 100
+    rows, bands = near_dup.banding(t)
+    assert rows * bands <= near_dup.MOST and (1 - t**rows) ** bands <= near_dup.BAND_MISS
+    if percent == 80:
+        assert (rows, bands) == (5, 36)
+    steps = near_dup.least_matches(t, 1e-7, rows * bands)
     rng, lost = np.random.default_rng(0), 0
     for _ in range(2000):
-        hits = rng.random(near_dup.ROWS * near_dup.BANDS) < 0.8
+        hits = rng.random(rows * bands) < t
         lost += any(hits[:n].sum() < least for n, least in steps)
-    assert lost == 0 and steps[-1][1] > 90
+    assert lost == 0
+    with pytest.raises(ValueError):
+        near_dup.banding(0.01)
+
+
+def test_recall_of_near_copies(spark):
+    """Copies with a twentieth of their words changed: every link at 60 % of two-word shingles is found."""
+    rng, docs = random.Random(31), []
+    for i in range(120):
+        w = prose(rng, 150, 10**6).split()
+        docs.append((2 * i, " ".join(w), "en", "s", 1))
+        for k in rng.sample(range(150), 8):
+            w[k] = f"x{k}"
+        docs.append((2 * i + 1, " ".join(w), "en", "s", 1))
+    got = {r.doc_id: r.component_id for r in near_dup.near_dup(frame(spark, docs), size=2, percent=60).collect()}
+    grams = lambda t: {(x, y) for x, y in zip(t.split(), t.split()[1:], strict=False)}
+    alike = [i for i in range(120) if 100 * len(grams(docs[2 * i][1]) & grams(docs[2 * i + 1][1])) >= 60 * len(grams(docs[2 * i][1]) | grams(docs[2 * i + 1][1]))]
+    assert len(alike) > 100 and all(got[2 * i + 1] == 2 * i for i in alike)
 
 
 def test_quality_rules_counts(spark, rows):
