@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corposieve.llm._text import slices, words
+from corposieve.llm._text import Words, slices, words
 
 _SEPARATOR = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
@@ -76,80 +76,111 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+#: Templates of so many words at most are aligned at every start and to every end that can be one.
+EVERY = 64
+
+
+class Template:
+    """A template and the search for it in a slice of texts."""
+
+    def __init__(self, name: str, hashes: np.ndarray, coverage: float, stretch: float) -> None:
+        self.name, self.words, self.stretch = name, hashes, stretch
+        self.own, codes, self.counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        self.codes = codes.tolist()
+        self.need = ceil(coverage * len(hashes) - 1e-9)
+        self.reach = ceil(stretch * len(hashes))
+        spare = len(hashes) - self.need
+        self.heads, self.tails = np.unique(hashes[: spare + 1]), set(self.codes[len(hashes) - spare - 1 :])  # the first and the last aligned word are among these
+
+    def aligned(self, codes: np.ndarray, p: int, q: int) -> tuple[int, int, int] | None:
+        """(words aligned, first, last) of the text's words p to q, or None if they don't carry the template."""
+        cut = codes[p:q]
+        known = cut[cut >= 0]
+        if np.minimum(np.bincount(known, minlength=len(self.counts)), self.counts).sum() < self.need:
+            return None
+        pairs = patience(cut.tolist(), self.codes)
+        if len(pairs) < self.need or pairs[-1][0] - pairs[0][0] + 1 > self.stretch * len(pairs):
+            return None
+        return len(pairs), p + pairs[0][0], p + pairs[-1][0]
+
+    def at(self, codes: np.ndarray, p: int, end: int) -> list[tuple[int, int, int]]:
+        """The alignments that start at word ``p``."""
+        q = min(end, p + self.reach)
+        stops = {q, min(end, p + len(self.words))}
+        if len(self.words) <= EVERY:
+            stops |= {p + k + 1 for k, c in enumerate(codes[p:q].tolist()) if c in self.tails}
+        return [x for stop in sorted(stops) if (x := self.aligned(codes, p, stop))]
+
+    def places(self, w: Words, text: np.ndarray, near: np.ndarray) -> Iterator[tuple[int, tuple[int, int, int]]]:
+        """(text, place) of places that carry the template, the most covered first where they overlap; ``near``: words of any template."""
+        at = near[np.isin(w.hashes[near], self.own)]
+        if len(at) < self.need:
+            return
+        a, b = at[: len(at) - self.need + 1], at[self.need - 1 :]
+        starts = a[(b - a < self.stretch * len(self.words)) & (text[a] == text[b])]
+        starts = starts[np.isin(w.hashes[starts], self.heads)]
+        if not len(starts):
+            return
+        codes = np.full(len(w.hashes), -1, np.int64)
+        codes[at] = np.searchsorted(self.own, w.hashes[at])
+        long, past, later, hits = len(self.words) > EVERY, -1, -1, []
+        for p in starts.tolist():
+            if long and (p <= past or (p < later and codes[p + 1 : p + 2].tolist() != self.codes[1:2])):
+                continue
+            found = self.at(codes, p, int(w.first[text[p] + 1]))
+            hits += found
+            later = p + len(self.words) // 32
+            past = max((x[2] for x in found), default=past)
+        taken: list[tuple[int, int, int]] = []  # in order of their places
+        for x in sorted(hits, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            k = bisect_left(taken, (x[1], x[2]), key=lambda y: y[1:])
+            if (k == 0 or taken[k - 1][2] < x[1]) and (k == len(taken) or x[2] < taken[k][1]):
+                taken.insert(k, x)
+        for x in taken:
+            yield int(text[x[1]]), x
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, stretch: float = 1.5) -> DataFrame:
-    """``doc_id, license, coverage, first_word, last_word, licenses``: one row per input row.
+    """``doc_id, license, coverage, first_word, last_word, licenses, places``: one row per input row.
 
     A text carries a template if at least ``coverage`` of the template's words are aligned with words of the text
     that span at most ``stretch`` times as many words as are aligned. license is the one most covered (ties: more
-    words, then its name), with its place in words counted from 0; licenses has all, by name. Words are runs of
-    ASCII letters and digits or other letters, A-Z folded. Each stretch of text that holds enough words of the
-    template is aligned, together with those around it and, where these don't carry it, by itself.
+    words, then its name), with its place in words counted from 0; licenses has all, by name; places has every place of each, from
+    the left, places of one template don't overlap. Words are runs of ASCII letters and digits or other letters, A-Z folded.
+
+    Search: an alignment starts at a word of the template's first words from which on enough of the template's words
+    come within its stretch. A template of up to EVERY words is aligned at each such start, up to each word that can be
+    its last; a longer one at starts a 32nd of its length apart and wherever its first two words stand, up to the
+    stretch and over as many words as it has. So a second copy behind takes no anchor away.
 
-    Null or empty text, or one without a license: nulls and an empty list. Repeated rows get equal results; no
+    Null or empty text, or one without a license: nulls and empty lists. Repeated rows get equal results; no
     rows in, none out. Other columns are neither read nor returned.
     """
     given = templates or TEMPLATES
-    names = sorted(given)
-    coded = [words(pa.array([given[k]]), space=_SEPARATOR).hashes for k in names]
-    tests = [(k, h, np.unique(h), ceil(coverage * len(h) - 1e-9)) for k, h in zip(names, coded, strict=True) if len(h)]
+    coded = [(k, words(pa.array([given[k]]), space=_SEPARATOR).hashes) for k in sorted(given)]
+    tests = [Template(k, h, coverage, stretch) for k, h in coded if len(h)]
+    every = np.unique(np.concatenate([t.own for t in tests])) if tests else np.zeros(0, np.uint64)
+    place = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 w = words(part.column(1), space=_SEPARATOR)
                 text = np.repeat(np.arange(part.num_rows), w.count)
-                found: dict[int, dict[str, tuple]] = {}
-                every = np.unique(np.concatenate([t[2] for t in tests])) if tests else np.zeros(0, np.uint64)
-                any_ = np.flatnonzero(np.isin(w.hashes, every))
-                for name, want, own, need in tests:
-                    at = any_[np.isin(w.hashes[any_], own)]
-                    if len(at) < need:
-                        continue
-                    a, b = at[: len(at) - need + 1], at[need - 1 :]
-                    ok = (b - a < stretch * len(want)) & (text[a] == text[b])
-                    reach = ceil(stretch * len(want))
-                    spans: list[list[int]] = []
-                    runs = list(zip(a[ok].tolist(), b[ok].tolist(), strict=True))
-                    for x, y in runs:
-                        x, y = max(int(w.first[text[x]]), y - reach), min(int(w.first[text[x] + 1]), x + reach + 1)
-                        if spans and text[spans[-1][0]] == text[x] and x < spans[-1][1]:
-                            spans[-1][1] = max(y, spans[-1][1])
-                        else:
-                            spans.append([x, y])
-
-                    def align(p: int, q: int, name=name, want=want, need=need) -> float:
-                        """Align words p to q; the coverage, or 0 if they don't carry the template."""
-                        pairs = patience(w.hashes[p:q].tolist(), want.tolist())
-                        if len(pairs) < need or pairs[-1][0] - pairs[0][0] + 1 > stretch * len(pairs):
-                            return 0.0
-                        row = int(text[p])
-                        hit = (len(pairs) / len(want), len(pairs), p + pairs[0][0] - int(w.first[row]), p + pairs[-1][0] - int(w.first[row]))
-                        if name not in found.setdefault(row, {}) or hit[:2] > found[row][name][:2]:
-                            found[row][name] = hit
-                        return hit[0]
-
-                    k = 0
-                    for x, y in spans:
-                        whole = [(x, y)] if y - x <= 3 * reach else [(c, min(y, c + 2 * reach)) for c in range(x, y, max(1, reach // 4))]
-                        together = most = max(align(p, q) for p, q in whole)
-                        tried = x - len(want)
-                        while k < len(runs) and runs[k][0] < y:
-                            p, q = runs[k]
-                            k += 1
-                            if not together and most < 1 and p - tried >= len(want) // 32:  # the template may be there twice: a stretch by itself has anchors
-                                tried = p
-                                most = max(most, *(align(*z) for z in {(p, q + 1), (p, min(y, p + reach)), (max(x, q + 1 - reach), q + 1)}))
-                best: list[tuple] = []
+                found: dict[int, list[tuple]] = {}
+                near = np.flatnonzero(np.isin(w.hashes, every))
+                for t in tests:
+                    for row, (n, p, q) in t.places(w, text, near):
+                        low = int(w.first[row])
+                        found.setdefault(row, []).append((t.name, n / len(t.words), n, p - low, q - low))
+                rows: list[tuple] = []
                 for row in range(part.num_rows):
-                    own_ = found.get(row)
-                    if own_:
-                        k = min(own_, key=lambda k: (-own_[k][0], -own_[k][1], k))
-                        best.append((k, own_[k][0], *own_[k][2:], sorted(own_)))
-                    else:
-                        best.append((None, None, None, None, []))
-                cols = list(zip(*best, strict=True))
-                kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "license", "coverage", "first_word", "last_word", "licenses"])
+                    own = found.get(row, [])
+                    k = min(own, key=lambda x: (-x[1], -x[2], x[0], x[3]), default=(None,) * 5)
+                    rows.append((k[0], k[1], k[3], k[4], sorted({x[0] for x in own}), [dict(zip(("license", "coverage", "first_word", "last_word"), (x[0], x[1], x[3], x[4]), strict=True)) for x in sorted(own, key=lambda x: (x[3], x[0]))]))
+                kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(place)]
+                cols = zip(*rows, strict=True) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "license", "coverage", "first_word", "last_word", "licenses", "places"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(scan, "doc_id long, license string, coverage double, first_word long, last_word long, licenses array<string>")
+    return texts.mapInArrow(scan, "doc_id long, license string, coverage double, first_word long, last_word long, licenses array<string>, places array<struct<license:string,coverage:double,first_word:long,last_word:long>>")

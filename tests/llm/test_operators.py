@@ -401,6 +401,54 @@ def test_license_notice_twice_in_a_row(spark):
     assert [got[i].last_word - got[i].first_word for i in (1, 2)] == [7, 7]
 
 
+def _carried(text, template, coverage=0.8, stretch=1.5):
+    """Whether any window of the text at all carries the template, and the most words aligned in one."""
+    need, most = -(-len(template) * 4 // 5), 0
+    for p in range(len(text)):
+        for q in range(p + need, len(text) + 1):
+            pairs = license_scan.patience(text[p:q], template)
+            if len(pairs) >= need and pairs[-1][0] - pairs[0][0] + 1 <= stretch * len(pairs):
+                most = max(most, len(pairs))
+    return most
+
+
+def test_license_over_all_windows(spark):
+    """One to three copies, adjacent and apart, some words changed: against the alignment of every window of the text."""
+    rng, docs, want = random.Random(18), [], {}
+    templates = {"notice": "alpha under the beta license version two", "longer": " ".join(f"t{i % 23}" for i in range(30))}
+    for i in range(60):
+        name = rng.choice(list(templates))
+        parts = [prose(rng, rng.randrange(8), 9)]
+        for _ in range(rng.randrange(1, 4)):
+            w = templates[name].split()
+            for _ in range(rng.choice([0, 0, 1, len(w) // 6])):
+                k = rng.randrange(len(w))
+                w[k : k + 1] = rng.choice([[], ["odd"], [w[k], "odd"]])
+            parts += [" ".join(w), rng.choice(["", prose(rng, rng.randrange(6), 9)])]
+        text = " ".join(x for x in parts if x)
+        docs.append((i, text, "", "", 1))
+        want[i] = {k: m for k, t in templates.items() if (m := _carried(text.split(), t.split()))}
+    got = {r.doc_id: r for r in license_scan.license_scan(frame(spark, docs), templates).collect()}
+    assert {i: set(r.licenses) for i, r in got.items()} == {i: set(m) for i, m in want.items()}
+    best = {i: {k: max(round(x.coverage * len(templates[k].split())) for x in r.places if x.license == k) for k in r.licenses} for i, r in got.items()}
+    assert sum(best[i] == want[i] for i in want) >= 58 and all(best[i][k] >= m - 1 for i, x in want.items() for k, m in x.items())
+
+
+def test_license_copies_are_all_places(spark):
+    rng = random.Random(19)
+    noise = prose(rng, 30)
+    docs, at = [], {}
+    for i, (name, gap) in enumerate((n, g) for n in ("MIT-notice", "Apache-2.0-notice", "ISC", "MIT", "BSD-2-Clause", "GPL-2.0") for g in ("\n", " see there ", f" {noise} ")):
+        text = license_scan.TEMPLATES[name]
+        docs.append((i, gap.join([noise, text, text, text, noise]), "", "", 1))
+        n = len(words(pa.array([text]), space=license_scan._SEPARATOR).hashes)
+        skip = len(gap.split())
+        at[i] = (name, [(30 + skip + k * (n + skip), 30 + skip + k * (n + skip) + n - 1) for k in range(3)])
+    for r in license_scan.license_scan(frame(spark, docs)).collect():
+        name, places = at[r.doc_id]
+        assert [(x.first_word, x.last_word) for x in r.places if x.license == name] == places
+
+
 def test_license_bodies(spark):
     rng = random.Random(13)
     names = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
