@@ -15,8 +15,10 @@ from corposieve.llm._text import U, bytes_of, mix, slices, words
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: rule -> its failure, as SQL over COUNTS
+#: rule -> its failure, as SQL over COUNTS; a document that fails one of these goes.
 RULES = {"few_words": "n_words < 20", "repeats": "100 * n_repeat_words > 30 * n_words"}
+#: Further failures that count against a host alone: a document may have them and stay.
+HOST_RULES = {"symbols": "10 * n_symbols > n_words", "dup_lines": "n_dup_lines >= 3", "word_length": "word_chars < 3 * n_words or word_chars > 12 * n_words"}
 
 
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -81,9 +83,9 @@ def quality_rules(docs: DataFrame, host: str = "source", most: float = 0.5) -> D
     """Judge documents by rules, and hosts by the share of their documents that fail.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate, kept``,
-    one row per input row. A host is rejected if its rate for any rule, shrunk towards all hosts' mean by a beta
-    prior fitted by moments, exceeds ``most``; kept is false for a base failure and for each document of such a
-    host. host_rate is the largest of the shrunk rates.
+    one row per input row. A host is rejected if its rate for any of RULES and HOST_RULES, shrunk towards all hosts'
+    mean by a beta prior fitted by moments, exceeds ``most``; kept is false for a base failure and for each document
+    of such a host. host_rate is the largest of the shrunk rates.
 
     Null or empty text: no words, so it fails. A null host is a host of its own. Repeated rows count each. No
     rows in, none out. Other columns are neither read nor returned.
@@ -100,9 +102,9 @@ def quality_rules(docs: DataFrame, host: str = "source", most: float = 0.5) -> D
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
     rows = stage(docs.mapInArrow(count, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS)), "rules")
-    hosts = stage(rows.groupBy("host").agg(F.count("*").alias("n"), *(F.count_if(F.expr(x)).alias(k) for k, x in RULES.items())), "hosts")
+    hosts = stage(rows.groupBy("host").agg(F.count("*").alias("n"), *(F.count_if(F.expr(x)).alias(k) for k, x in (RULES | HOST_RULES).items())), "hosts")
     rates = []
-    for rule in RULES:
+    for rule in RULES | HOST_RULES:
         mean, weight = beta_prior(hosts, rule)
         rates.append((F.col(rule) + mean * weight) / (F.col("n") + weight))
     verdicts = hosts.select(F.col("host").alias("of_host"), F.greatest(*rates).alias("host_rate"))

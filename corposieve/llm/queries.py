@@ -98,8 +98,9 @@ b AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_t
   length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(q.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN l USING (doc_id) LEFT JOIN q USING (doc_id)),
 f AS (SELECT *, n_words < 20 AS few, 100 * n_repeat_words > 30 * n_words AS rep FROM b),
-o AS (SELECT source, count(*) AS n, [count(*) FILTER (few), count(*) FILTER (rep)] AS fs FROM f GROUP BY source),
-x AS (SELECT source, n::DOUBLE AS n, unnest(fs)::DOUBLE AS f, unnest([1, 2]) AS rule FROM o),
+o AS (SELECT source, count(*) AS n, [count(*) FILTER (few), count(*) FILTER (rep), count(*) FILTER (10 * n_symbols > n_words), count(*) FILTER (n_dup_lines >= 3),
+  count(*) FILTER (word_chars < 3 * n_words OR word_chars > 12 * n_words)] AS fs FROM f GROUP BY source),
+x AS (SELECT source, n::DOUBLE AS n, unnest(fs)::DOUBLE AS f, unnest(range(1, 6)) AS rule FROM o),
 m AS (SELECT rule, sum(f) / sum(n) AS mean, sum(n) AS total, count(*) AS k FROM x GROUP BY rule),
 v AS (SELECT rule, any_value(mean) AS mean, sum(n * (f / n - mean) ** 2) / any_value(total) - any_value(mean * (1 - mean) * k / total) AS between_ FROM x JOIN m USING (rule) GROUP BY rule),
 c AS (SELECT rule, mean, CASE WHEN mean > 0 AND mean < 1 AND between_ > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / between_ - 1)) ELSE 1e6 END AS weight FROM v),
@@ -118,16 +119,19 @@ SELECT * EXCLUDE (times), unnest(range(1, times + 1))::INTEGER AS copy FROM d"""
     "op8_decontaminate": r"""
 WITH w AS MATERIALIZED (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS MATERIALIZED (SELECT item_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
-m AS (SELECT * FROM (VALUES (1, [0, 1, 3, 6, 7]), (2, [0, 2, 3, 4, 8])) AS m(mask, o)),
-i AS (SELECT id, unnest(range(0, greatest(0, len(w) - 8))) AS i, w FROM w),
-j AS (SELECT id, unnest(range(0, greatest(0, len(w) - 8))) AS i, w FROM b),
-sw AS (SELECT id, i, mask, w[i + o[1] + 1] || ' ' || w[i + o[2] + 1] || ' ' || w[i + o[3] + 1] || ' ' || w[i + o[4] + 1] || ' ' || w[i + o[5] + 1] AS s FROM i, m),
-sb AS (SELECT id, i, mask, w[i + o[1] + 1] || ' ' || w[i + o[2] + 1] || ' ' || w[i + o[3] + 1] || ' ' || w[i + o[4] + 1] || ' ' || w[i + o[5] + 1] AS s FROM j, m),
+m AS (SELECT * FROM (VALUES (1, [0, 1, 3, 6, 7]), (2, [0, 2, 3, 4, 8]), (3, [0, 1, 2, 4, 5])) AS m(mask, o)),
+i AS (SELECT id, mask, o, unnest(range(0, greatest(0, len(w) - o[5]))) AS i, w FROM w, m),
+j AS (SELECT id, mask, o, unnest(range(0, greatest(0, len(w) - o[5]))) AS i, w FROM b, m),
+sw AS (SELECT id, i, mask, w[i + o[1] + 1] || ' ' || w[i + o[2] + 1] || ' ' || w[i + o[3] + 1] || ' ' || w[i + o[4] + 1] || ' ' || w[i + o[5] + 1] AS s FROM i),
+sb AS (SELECT id, i, mask, w[i + o[1] + 1] || ' ' || w[i + o[2] + 1] || ' ' || w[i + o[3] + 1] || ' ' || w[i + o[4] + 1] || ' ' || w[i + o[5] + 1] AS s FROM j),
 h AS (SELECT DISTINCT sw.id AS doc_id, sb.id AS item_id, sw.i - sb.i AS d FROM sw JOIN sb USING (mask, s)),
 f AS (SELECT h.*, unnest(range(greatest(0, -d), least(len(b.w), len(w.w) - d))) AS j, w.w AS dw, b.w AS bw FROM h JOIN w ON w.id = doc_id JOIN b ON b.id = item_id),
-e AS (SELECT doc_id, item_id, d, j, (bw[j + 1] = dw[j + d + 1])::INTEGER AS eq FROM f),
-s AS (SELECT doc_id, item_id, sum(eq) OVER (PARTITION BY doc_id, item_id, d ORDER BY j ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS equal_ FROM e),
-x AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, max(equal_) AS equal_words FROM s WHERE equal_ >= 10 GROUP BY doc_id)
+e AS (SELECT doc_id, item_id, d, j, least(10, ceil(len(bw) * 10 / 12)) AS least_, (bw[j + 1] = dw[j + d + 1])::INTEGER AS eq FROM f),
+s AS (SELECT doc_id, item_id, least_, sum(eq) OVER (PARTITION BY doc_id, item_id, d ORDER BY j ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS equal_ FROM e),
+-- items of fewer than 12 words that a text holds whole
+n AS (SELECT id AS item_id, len(w) AS k, array_to_string(w, ' ') AS s FROM b WHERE len(w) BETWEEN 1 AND 11),
+t AS (SELECT id AS doc_id, n.item_id, n.k AS equal_ FROM w, n WHERE contains(' ' || array_to_string(w.w, ' ') || ' ', ' ' || n.s || ' ')),
+x AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, max(equal_) AS equal_words FROM (SELECT doc_id, item_id, equal_ FROM s WHERE equal_ >= least_ UNION ALL SELECT * FROM t) GROUP BY doc_id)
 SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(equal_words, 0)::BIGINT AS equal_words
 FROM documents d LEFT JOIN x USING (doc_id)""",
     "op9_sharding": r"""

@@ -197,6 +197,15 @@ def test_bad_host_takes_good_documents(spark):
     assert {(r.kept, r.base_failed): r["count"] for r in got} == {(True, False): 2000, (False, True): 360, (False, False): 40}
 
 
+@pytest.mark.parametrize("bad", [" ".join(f"#w{i}" for i in range(30)), "\n".join(["same line here"] * 4 + [f"word{i}" for i in range(30)]), " ".join(chr(97 + i % 26) for i in range(29)) + " z1 z2"])
+def test_bad_host_by_every_count(spark, bad):
+    """Symbols, repeated lines and odd words don't fail a document, but a host that is full of them."""
+    good = " ".join(f"word{i}" for i in range(30))
+    docs = [(i, bad if i % 40 == 0 else good, "en", f"h{i % 20}", 1) for i in range(2000)] + [(5000 + i, bad if i % 4 else good, "en", "bad", 1) for i in range(400)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, docs)).collect()}
+    assert all(not r.base_failed and r.kept == (d < 5000) for d, r in got.items())
+
+
 def test_quality_classifier_holds_out(spark):
     rng = random.Random(4)
     docs, labels = [], []
