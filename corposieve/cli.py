@@ -12,12 +12,14 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.storagelevel import StorageLevel
 
 from corposieve.operators import edits, findings
 from corposieve.plans import config as conf
 from corposieve.plans import engine
 from corposieve.rules.base import Registry
 from corposieve.rules.catalog import builtin
+from corposieve.rules.examples import examples
 from corposieve.sources import corpus, modules
 
 CONFIG = "corposieve.toml"
@@ -90,36 +92,77 @@ def select_packages(known: list[tuple[str, str, bool]], wanted: list[str]) -> li
     return roots
 
 
-def _report(found: DataFrame, registry: Registry, as_json: bool) -> int:
+#: Findings that the human report shows at most; all are counted, and ``--json`` has all.
+SHOWN = 100_000
+
+
+def _report(found: DataFrame, registry: Registry, as_json: bool, quiet: bool, known: list[tuple[str, str, bool]]) -> int:
+    """Findings by package and file, then counts by rule; or JSON. Rows come to the driver a partition at a time."""
     rules = found.sparkSession.createDataFrame([(r["rule"], r["severity"], r["description"], r["guidance"]) for r in engine.catalog(registry)], "rule string, severity string, description string, guidance string")
-    rows = findings.report_rows(found, rules).toPandas()
+    found = found.persist(StorageLevel.DISK_ONLY)
+    rows = findings.report_rows(found, rules)
+    n = found.count()
     if as_json:
-        rows["column"] = rows["column"].astype(object).where(rows["column"].notna(), None)
-        print(json.dumps({"schema_version": 2, "findings": rows.to_dict("records")}, indent=2, default=int))
-    else:
-        for r in rows.itertuples():
+        print('{\n  "schema_version": 2,\n  "findings": [', end="")
+        for k, r in enumerate(rows.toLocalIterator()):
+            print(",\n" if k else "\n", json.dumps(r.asDict()), sep="    ", end="")
+        print("\n  ]\n}")
+    elif not quiet:
+        roots = sorted(((root, name) for name, root, _ in known), key=lambda x: -len(x[0]))
+        last = None
+        for r in rows.limit(SHOWN).toLocalIterator():
+            package = next((name for root, name in roots if not root or r.path.startswith(f"{root}/")), "")
+            if package != last and known:
+                print(f"{package or '(no package)'}:")
+                last = package
             print(f"{r.path}:{r.line}: {r.severity}: {r.message} [{r.rule}]")
-        counts = rows.groupby("rule").size().sort_values(ascending=False)
-        for rule, n in counts.items():
-            print(f"{n:6d}  {rule}")
-    return 1 if len(rows) else 0
+        if n > SHOWN:
+            print(f"... and {n - SHOWN} more")
+        for r in findings.summary(found).collect():  # a row a rule
+            print(f"{r['count']:6d}  {r.rule}{f'  ({r.fixable} fixable)' if r.fixable else ''}  in {r.files} files")
+    found.unpersist()
+    engine.release()
+    return 1 if n else 0
+
+
+def shortened(text: str) -> str:
+    """An example without the repetition that some need."""
+    lines = text.rstrip("\n").split("\n")
+    return "\n".join(x for i, x in enumerate(lines) if i < 2 or x != lines[i - 1] or x != lines[i - 2])
+
+
+def detail(registry: Registry, rule: str) -> dict | None:
+    """A rule's metadata with its examples."""
+    e = examples().get(rule)
+    return next((r | ({"examples": {"fails": shortened(e.fails), "passes": shortened(e.passes), "path": e.path}} if e and e.fails else {}) for r in engine.catalog(registry) if r["rule"] == rule), None)
 
 
 def markdown(registry: Registry) -> str:
-    """The catalog as Markdown."""
+    """The catalog as Markdown, with guidance and examples."""
     cell = lambda x: str(x).replace("|", "\\|").replace("\n", " ")
     out = ["# Rules", "", "| rule | kind | severity | default | fix | description |", "| --- | --- | --- | --- | --- | --- |"]
     for r in engine.catalog(registry):
         out.append("| " + " | ".join(map(cell, (f"`{r['rule']}`", r["kind"], r["severity"], "on" if r["default"] else "off", "yes" if r["fixable"] else "", r["description"]))) + " |")
     params = [(r["rule"], k, v) for r in engine.catalog(registry) for k, v in r["params"].items()]
-    return "\n".join([*out, "", "| rule | parameter | default |", "| --- | --- | --- |", *(f"| `{a}` | `{b}` | `{cell(" ".join(c) if isinstance(c, list) else json.dumps(c))}` |" for a, b, c in params), ""])
+    details: list[str] = []
+    for r in engine.catalog(registry):
+        e = examples().get(r["rule"])
+        if e:
+            more = [x for title, text in (("Found fault with", e.fails), ("Passes", e.passes)) if text for x in ("", f"{title}:", "", "```" + ("toml" if e.path.endswith("toml") else "rust"), shortened(text), "```")]
+            details += ["", f"## `{r['rule']}`", "", f"{r['description']} {r['guidance']}", *more]
+    return "\n".join([*out, "", "| rule | parameter | default |", "| --- | --- | --- |", *(f"| `{a}` | `{b}` | `{cell(" ".join(c) if isinstance(c, list) else json.dumps(c))}` |" for a, b, c in params), *details, ""])
 
 
 def main(argv: list[str] | None = None, registry: Registry | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(prog="corposieve")
     p.add_argument("root", nargs="?", default=".")
     p.add_argument("--rule", action="append")
-    p.add_argument("--package", action="append", default=[])
+    p.add_argument("--package", "-F", action="append", default=[])
+    p.add_argument("--config", help="instead of corposieve.toml in the tree")
+    p.add_argument("--strict", action="store_true", help="a configuration that is missing or leaves rules out is an error")
+    p.add_argument("--quiet", "-q", action="store_true", help="print errors and JSON alone")
+    p.add_argument("--baseline-forbid", default="", help="rules, by commas, that a baseline may not hold")
+    p.add_argument("--ci", action="store_true", help="run the rules, cargo fmt and cargo clippy as one gate")
     p.add_argument("--dirty", action="store_true")
     p.add_argument("--json", action="store_true")
     p.add_argument("--baseline")
@@ -148,7 +191,7 @@ def main(argv: list[str] | None = None, registry: Registry | None = None, spark:
             print(f"{r['rule']}  {r['kind']}  {r['severity']}  {'on' if r['default'] else 'off'}{'  fixable' if r['fixable'] else ''}")
         return 0
     if a.detail:
-        print(json.dumps(next((r for r in engine.catalog(registry) if r["rule"] == a.detail), None), indent=2))
+        print(json.dumps(detail(registry, a.detail), indent=2))
         return 0 if a.detail in registry.rules else 2
     if a.llm:
         print(markdown(registry))
@@ -157,10 +200,16 @@ def main(argv: list[str] | None = None, registry: Registry | None = None, spark:
         with (root / CONFIG).open("x") as out:
             out.write(conf.render_default(registry))
         return 0
-    path = root / CONFIG
-    config = conf.load(path.read_text(), registry) if path.exists() else conf.default(registry)
-    for w in config.warnings:
+    path = Path(a.config) if a.config else root / CONFIG
+    if a.strict and not path.exists():
+        p.error(f"{path} is missing")
+    try:
+        config = conf.load(path.read_text(), registry, a.strict) if a.config or path.exists() else conf.default(registry)
+    except (conf.ConfigError, OSError) as e:
+        p.error(f"{path}: {e}")
+    for w in [] if a.quiet else config.warnings:
         print(f"warning: {w}", file=sys.stderr)
+    forbidden = {*config.forbid_baseline, *filter(None, a.baseline_forbid.split(","))}
     if a.parse_config:
         print(json.dumps({k: vars(v) for k, v in config.rules.items()}, indent=2))
         return 0
@@ -185,13 +234,15 @@ def main(argv: list[str] | None = None, registry: Registry | None = None, spark:
         return 0
     if a.fix:
         rules = [r for r in registry.rules.values() if r.fixable and config.rules[r.id].enabled and (not a.rule or r.id in a.rule)]
-        changed = edits.fix(files, rules, lambda r: config.params(r, "")).orderBy("rel").collect()
+        fixed = edits.fix(files, rules, lambda r: config.params(r, "")).orderBy("rel")
         if a.dry_run:
-            for r in changed:
+            n = 0
+            for r in fixed.toLocalIterator():
+                n += 1
                 print(edits.preview(r.rel, r.before, r.after), end="")
-            return 1 if changed else 0
+            return 1 if n else 0
         with Lock(root):
-            for r in changed:
+            for r in fixed.persist(StorageLevel.DISK_ONLY).toLocalIterator():
                 if (root / r.rel).read_bytes().decode() != r.before:
                     raise SystemExit(f"{r.rel} was changed meanwhile; nothing more is written")
                 write_atomically(root / r.rel, r.after)
@@ -211,15 +262,30 @@ def main(argv: list[str] | None = None, registry: Registry | None = None, spark:
         if doc.get("schema_version") != 1:
             raise SystemExit("a baseline of another version")
         rows = [(f["rule"], f["path"], f["message"], int(f["count"])) for f in doc["findings"]]
-        if bad := {r[0] for r in rows} & set(config.forbid_baseline):
+        if bad := {r[0] for r in rows} & forbidden:
             raise SystemExit(f"rules that may not be in a baseline: {', '.join(sorted(bad))}")
         base = spark.createDataFrame(rows, "rule string, path string, message string, count bigint")
+    config = engine.discover(files, config)
     found = engine.check(files, registry, config, a.rule, base, targets)
     if a.write_baseline:
         rows = [r.asDict() for r in findings.write_baseline(found).orderBy("rule", "path", "message").collect()]
         write_atomically(Path(a.write_baseline).resolve(), json.dumps({"schema_version": 1, "findings": rows}, indent=2) + "\n")
         return 0
-    return _report(found, registry, a.json)
+    code = _report(found, registry, a.json, a.quiet, known)
+    return max(code, gate(root, a.quiet)) if a.ci else code
+
+
+def gate(root: Path, quiet: bool) -> int:
+    """The formatter and the linter of cargo: 0 if both are content, 2 if cargo is missing."""
+    code = 0
+    for what in (["fmt", "--all", "--check"], ["clippy", "--workspace", "--all-targets", "--quiet", "--", "-D", "warnings"]):
+        try:
+            done = subprocess.run(["cargo", *what], cwd=root, stdout=subprocess.DEVNULL if quiet else None, check=False)
+        except OSError:
+            print("cargo isn't there", file=sys.stderr)
+            return 2
+        code = max(code, int(done.returncode != 0))
+    return code
 
 
 def clean(root: Path, stale: list) -> None:

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_SHARED = 5
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that ``spark.checkpoint.dir`` names."""
+    """Cut lineage in the folder that ``spark.checkpoint.dir`` names; a folder of our own only in local mode without one."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            found = "file://" + tempfile.mkdtemp(prefix="corposieve-")
+        context.setCheckpointDir(found)
     return df.checkpoint()
 
 
@@ -144,7 +149,3 @@ def preceding(df: DataFrame, group: list[str], order: str, flag: Column, stop: C
         hit = hit | (open_ & ~s & f)
         open_ = open_ & ~s
     return marked.withColumn("preceded", hit).drop("_flag", "_stop")
-
-
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)

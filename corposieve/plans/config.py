@@ -30,18 +30,23 @@ class Config:
     forbid_baseline: list[str] = field(default_factory=list)
     cache_inputs: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
+    #: rule -> package (None: all) -> parameter -> values that the workspace itself adds to a list
+    discovered: dict[str, dict[str | None, dict[str, list[str]]]] = field(default_factory=dict)
 
     def applies(self, rule: str, rel: str) -> bool:
         c = self.rules[rule]
         return c.enabled and (not c.only or _any(rel, c.only)) and not _any(rel, c.ignore)
 
-    def params(self, rule: Rule, rel: str) -> dict[str, object]:
-        """Defaults, then the rule's own values, then each override whose globs match: the last one wins."""
+    def params(self, rule: Rule, rel: str, package: str | None = None) -> dict[str, object]:
+        """Defaults, then the rule's own values, then each override whose globs match: the last one wins; discovered values are added."""
         c = self.rules[rule.id]
         out = dict(rule.params) | c.params
         for globs, values in c.overrides:
             if _any(rel, globs):
                 out |= values
+        for scope in dict.fromkeys((None, package)):
+            for k, more in self.discovered.get(rule.id, {}).get(scope, {}).items():
+                out[k] = list(dict.fromkeys([*out[k], *more]))
         return out
 
 
@@ -70,8 +75,11 @@ def _check(rule: Rule, name: str, value: object, where: str) -> object:
     return value
 
 
-def load(text: str, registry: Registry) -> Config:
-    """Parse, resolve glob sets (``@name``) and validate; unknown rules are errors, rules not named keep their default."""
+def load(text: str, registry: Registry, strict: bool = False) -> Config:
+    """Parse, resolve glob sets (``@name``) and validate; unknown rules are errors, rules not named keep their default.
+
+    ``strict``: a rule that isn't named is an error.
+    """
     try:
         doc = tomllib.loads(text)
     except tomllib.TOMLDecodeError as e:
@@ -121,6 +129,10 @@ def load(text: str, registry: Registry) -> Config:
                 own.params[key] = _check(r, key, value, "rules")
         if not own.enabled and len(c) > 1:
             warnings.append(f"{name} is off, so its other settings have no effect")
+    if strict:
+        missing = sorted(set(registry.rules) - set(doc.get("rules", {})))
+        if missing:
+            raise ConfigError(f"rules without an entry: {', '.join(missing)}")
     return Config(rules, bool(doc.get("allow_suppressions", True)), list(doc.get("forbid_baseline", [])), list(doc.get("cache_inputs", [])), warnings)
 
 

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from corposieve.model import FINDINGS, ordered
 from corposieve.operators import findings as ops
 from corposieve.operators.directives import directives, directives_of
 from corposieve.plans.config import Config
 from corposieve.rules.base import Registry, Rule, RustFile
+from corposieve.rules.examples import examples
 from corposieve.rules.manifests import TomlFile
 
 #: AST rules whose findings are of a line, not a column.
@@ -51,10 +54,10 @@ def analyze(files: DataFrame, registry: Registry, config: Config, only: list[str
             for rel, ext, text, package, test_only in zip(*(batch[c] for c in ("rel", "ext", "contents", "package", "test_only")), strict=True):
                 mine = [r for r in rules if config.applies(r.id, rel)]
                 if ext == "toml":
-                    out += file_findings(TomlFile(text, rel), mine, lambda r, rel=rel: config.params(r, rel))
+                    out += file_findings(TomlFile(text, rel), mine, lambda r, rel=rel, package=package: config.params(r, rel, package))
                 elif ext == "rs":
                     f = RustFile(text, rel, package, bool(test_only))
-                    found = list(file_findings(f, mine, lambda r, rel=rel: config.params(r, rel)))
+                    found = list(file_findings(f, mine, lambda r, rel=rel, package=package: config.params(r, rel, package)))
                     if not raw:
                         found = _suppressed(f, found, known, config.allow_suppressions)
                     out += found
@@ -86,6 +89,15 @@ def _suppressed(f: RustFile, found: list[tuple], known: set[str], allowed: bool)
     return keep + [(f.rel, d["line"], None, "rust_suppression_directives", d["error"], False) for d in rows if d["scope"] == "unknown"]
 
 
+_held: list[DataFrame] = []
+
+
+def release() -> None:
+    """Drop the records that rules across files have read, once their findings are written."""
+    while _held:
+        _held.pop().unpersist()
+
+
 def workspace(files: DataFrame, registry: Registry, config: Config, only: list[str] | None = None) -> DataFrame | None:
     """Findings of rules across files, after suppression; None if no such rule is selected."""
     from corposieve.rules.workspace import records
@@ -93,7 +105,8 @@ def workspace(files: DataFrame, registry: Registry, config: Config, only: list[s
     rules = [r for r in registry.rules.values() if (only is None or r.id in only) and config.rules[r.id].enabled and r.kind in ("rust-workspace", "workspace")]
     if not rules:
         return None
-    recs = records(files).persist()
+    recs = records(files).persist(StorageLevel.DISK_ONLY)  # read by each rule; ``release`` drops it
+    _held.append(recs)
     out = None
     for r in rules:
         c = config.rules[r.id]
@@ -121,5 +134,22 @@ def stale(files: DataFrame, registry: Registry, config: Config) -> DataFrame:
     return ops.stale_directives(directives(files), every if across is None else every.unionByName(across))
 
 
+def discover(files: DataFrame, config: Config) -> Config:
+    """``config`` with what the manifests among ``files`` tell: a package's external crates, and the workspace's own crates.
+
+    A package's external crates are its normal dependencies that no member is named like (a renamed one by its
+    package), as import roots. Only manifests are parsed; the driver gets one small row for each.
+    """
+    from corposieve.rules.workspace import records
+
+    rows = records(files.where("ext = 'toml'")).where("package is not null").select("package", F.filter("deps", lambda d: d["section"] == "normal").alias("deps")).collect()
+    members = {r.package for r in rows}
+    external = {r.package: {"assume_external": sorted({d.root for d in r.deps if (d.package or d.name) not in members})} for r in rows}
+    own = {"members": sorted(m.replace("-", "_") for m in members)}
+    return replace(config, discovered={"rust_pub_api_foreign_types": external, "rust_foreign_reexports": {None: own}})
+
+
 def catalog(registry: Registry) -> list[dict]:
-    return [{"rule": r.id, "kind": r.kind, "severity": r.severity, "description": r.description, "guidance": r.description, "default": r.default, "fixable": r.fixable, "params": r.params} for r in registry.rules.values()]
+    """The rules' metadata; guidance and examples are those of ``examples.txt`` (of other packs' rules: the description)."""
+    known = examples()
+    return [{"rule": r.id, "kind": r.kind, "severity": r.severity, "description": r.description, "guidance": known[r.id].guidance if r.id in known else r.description, "default": r.default, "fixable": r.fixable, "params": r.params} for r in registry.rules.values()]

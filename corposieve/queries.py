@@ -35,7 +35,9 @@ _LOOKALIKES = "".join(sorted(c for c in text.confusables()))
 
 
 def ambiguous_unicode_first(spark, d):
-    found = _lines(spark, d).withColumn("char", text.first_of(F.col("text"), "éèüßñó")).where("char != ''")
+    """The first of all known look-alikes in each line of texts in which two letters were swapped for such."""
+    swapped = F.translate("text", "xq", "\u0445\uff51")
+    found = _lines(spark, d).withColumn("char", text.first_of(swapped, _LOOKALIKES)).where("char != ''")
     return found.groupBy("char").agg(F.count("*").alias("n_lines"), F.countDistinct("rel").alias("n_files"))
 
 
@@ -77,6 +79,14 @@ def param_clump(spark, d):
     return found.select("n_items", F.array_join("params", ",").alias("params"), "anchor")
 
 
+def param_clump_of_three(spark, d):
+    """What a customer's nation alone decides comes together; what its segment or region decides doesn't."""
+    c = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    given = F.array(F.concat(F.lit("key "), "n_nationkey"), F.concat(F.lit("name "), "n_name"), F.concat(F.lit("low "), F.lower("n_name")), F.concat(F.lit("region "), "n_regionkey"), F.concat(F.lit("segment "), "c_mktsegment"))
+    found = graph.parameter_clumps(c.select("c_custkey", F.explode(given).alias("param")), "c_custkey", "param", 3, 3)
+    return found.select("n_items", F.array_join("params", ",").alias("params"), "anchor")
+
+
 def unreferenced_dimension(spark, d):
     part, used = _t(spark, d, "part"), _t(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
     return graph.unreferenced(part, used, "p_partkey").select("p_partkey", "p_brand")
@@ -99,12 +109,12 @@ def longest_prefix_owner(spark, d):
 
 def _event_findings(spark, d):
     e = _t(spark, d, "events")
-    return e.select(F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")).alias("rel"), F.col("event_id").cast("int").alias("line"), F.lit(None).cast("int").alias("column"), F.col("event_type").alias("rule"), F.concat(F.lit("value "), F.floor(F.col("value") / 10).cast("string")).alias("message"), (F.col("value") > 50).alias("fixable"))
+    return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("rel"), F.col("event_id").cast("int").alias("line"), F.lit(None).cast("int").alias("column"), F.col("event_type").alias("rule"), F.concat(F.lit("value "), F.floor(F.col("value") / 10).cast("string")).alias("message"), (F.col("value") > 50).alias("fixable"))
 
 
 def baseline_multiset_diff(spark, d):
     found = _event_findings(spark, d)
-    base = findings.write_baseline(found.where("line % 3 = 0"))
+    base = findings.write_baseline(found.where("fixable"))
     return findings.apply_baseline(found, base).select("rel", "line", "rule", "message")
 
 
@@ -162,12 +172,6 @@ def enum_variant_outlier(spark, d):
     return p.where("p_size > low + 40").select("p_partkey", "p_brand", "p_size")
 
 
-def recursive_self_reference(spark, d):
-    e = _t(spark, d, "events").select("user_id", "event_id", "event_type")
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return e.withColumn("next", F.lead("event_type").over(w)).where("next = event_type").groupBy("event_type").agg(F.count("*").alias("n"))
-
-
 def _edges(spark, d):
     s = _t(spark, d, "supplier")
     n = s.agg((F.max("s_suppkey") + 1).alias("n"))
@@ -225,8 +229,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         line_explode_count, duplicate_adjacent_words, ambiguous_unicode_first, bidi_controls, long_lines_per_doc, nonblank_line_threshold, duplicate_strings, near_dup_shingle_jaccard,
-        exact_clone_groups, param_clump, unreferenced_dimension, glob_edge_theta, longest_prefix_owner, baseline_multiset_diff, suppression_range_anti, stale_suppressions, override_last_match,
-        second_occurrence, first_offender, consecutive_run_islands, preceding_context_window, majority_with_tiebreak, enum_variant_outlier, recursive_self_reference, test_closure, test_only_files,
+        exact_clone_groups, param_clump, param_clump_of_three, unreferenced_dimension, glob_edge_theta, longest_prefix_owner, baseline_multiset_diff, suppression_range_anti, stale_suppressions, override_last_match,
+        second_occurrence, first_offender, consecutive_run_islands, preceding_context_window, majority_with_tiebreak, enum_variant_outlier, test_closure, test_only_files,
         hardcoded_url, summary_by_rule, report_json, glob_scope, line_windows, fused_line_rules,
     )
 }
@@ -236,20 +240,21 @@ l0 AS (SELECT doc_id::VARCHAR AS rel, string_split(text, chr(10)) AS ls FROM doc
 l1 AS (SELECT rel, unnest(ls) AS text, generate_subscripts(ls, 1) AS line, len(ls) AS n FROM l0),
 l AS (SELECT rel, line::INTEGER AS line, text FROM l1 WHERE NOT (line = n AND text = ''))"""
 _FOUND = """
-f AS (SELECT 'u' || (user_id % 50) AS rel, event_id::INTEGER AS line, event_type AS rule, 'value ' || floor(value / 10)::BIGINT AS message, value > 50 AS fixable FROM events),
-g AS (SELECT rel, line, line + 400 AS end_line, CASE WHEN line % 5 = 0 THEN 'file' ELSE 'block' END AS scope, CASE WHEN line % 2 = 0 THEN '*' ELSE rule END AS rule FROM f WHERE line % 97 = 0)"""
+f AS (SELECT 'u' || user_id AS rel, event_id::INTEGER AS line, event_type AS rule, 'value ' || floor(value / 10)::BIGINT AS message, value > 50 AS fixable FROM events),
+g AS (SELECT rel, line, line + 400 AS end_line, CASE WHEN line % 5 = 0 THEN 'file' ELSE 'block' END AS scope, CASE WHEN line % 2 = 0 THEN '*' ELSE rule END AS rule FROM f WHERE rule = 'error')"""
 _COVER = "(g.rule = '*' OR g.rule = f.rule) AND g.rel = f.rel AND (g.scope = 'file' OR (f.line > g.line AND f.line <= g.end_line))"
 _CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in text.BIDI) + "]"
 _ALIKE = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in _LOOKALIKES) + "]"
 _WORDS5 = r"list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
-_GRAPH = "e AS (SELECT DISTINCT s_suppkey % 40 AS source, (s_suppkey * 7 + s_nationkey) % 40 AS target, s_suppkey % 3 = 0 AS t FROM supplier WHERE s_suppkey % 40 <> (s_suppkey * 7 + s_nationkey) % 40)"
+_GRAPH = """n AS (SELECT max(s_suppkey) + 1 AS n FROM supplier),
+e AS (SELECT DISTINCT s_suppkey AS source, (s_suppkey * 7 + s_nationkey) % n AS target, s_suppkey % 3 = 0 AS t FROM supplier, n WHERE s_suppkey <> (s_suppkey * 7 + s_nationkey) % n)"""
 
 ORACLE_SQL: dict[str, str] = {
     "line_explode_count": f"WITH {_L} SELECT rel, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars FROM l GROUP BY rel",
     "duplicate_adjacent_words": f"""WITH {_L}, w AS (SELECT rel, line, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM l),
 p AS (SELECT rel, line, unnest(w[:-2]) AS a, unnest(w[2:]) AS b, unnest(range(len(w) - 1)) AS i FROM w WHERE len(w) > 1)
 SELECT rel, line, lower(min_by(a, i)) AS word FROM p WHERE lower(a) = lower(b) GROUP BY rel, line""",
-    "ambiguous_unicode_first": f"WITH {_L}, c AS (SELECT rel, regexp_extract(text, '[éèüßñó]') AS char FROM l) SELECT char, count(*) AS n_lines, count(DISTINCT rel) AS n_files FROM c WHERE char <> '' GROUP BY char",
+    "ambiguous_unicode_first": f"WITH {_L}, c AS (SELECT rel, regexp_extract(translate(text, 'xq', chr(1093) || chr(65361)), '{_ALIKE}') AS char FROM l) SELECT char, count(*) AS n_lines, count(DISTINCT rel) AS n_files FROM c WHERE char <> '' GROUP BY char",
     "bidi_controls": f"""WITH {_L}, p0 AS (SELECT string_split(html, chr(10)) AS ls FROM pages WHERE html <> ''), p1 AS (SELECT unnest(ls) AS text, generate_subscripts(ls, 1) AS line, len(ls) AS n FROM p0),
 a AS (SELECT text FROM l UNION ALL SELECT text FROM p1 WHERE NOT (line = n AND text = ''))
 SELECT count(*) FILTER (regexp_matches(text, '{_CLASS}')) AS bidi_lines, count(*) FILTER (regexp_matches(text, '{_ALIKE}')) AS lookalike_lines, count(*) AS n_lines FROM a""",
@@ -264,9 +269,13 @@ p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c, any_value(a.n) AS nu,
 SELECT u AS left_key, v AS right_key, c::INTEGER AS shared, 'near' AS kind FROM p WHERE c >= greatest(5, ceil(least(nu, nv) / 10.0)) AND 100 * c >= 85 * (nu + nv - c)
 UNION ALL SELECT rep, doc_id, len(s)::INTEGER, 'exact' FROM s WHERE doc_id <> rep AND len(s) >= 5""",
     "exact_clone_groups": "SELECT md5(text) AS digest, min(doc_id) AS first_key, count(*) AS members FROM documents GROUP BY text HAVING count(*) > 1",
-    "param_clump": """WITH b AS (SELECT DISTINCT l_orderkey, concat_ws('|', l_returnflag, l_linestatus, l_linenumber::VARCHAR) AS param FROM lineitem WHERE l_orderkey < 2000),
+    "param_clump": """WITH b AS (SELECT DISTINCT l_orderkey, concat_ws('|', l_returnflag, l_linestatus, l_linenumber::VARCHAR) AS param FROM lineitem),
 s AS (SELECT param, list(l_orderkey ORDER BY l_orderkey) AS items FROM b GROUP BY param HAVING count(*) >= 3)
 SELECT len(items) AS n_items, string_agg(param, ',' ORDER BY param) AS params, items[-1] AS anchor FROM s GROUP BY items""",
+    "param_clump_of_three": """WITH c AS (SELECT c_custkey, unnest(['key ' || n_nationkey, 'name ' || n_name, 'low ' || lower(n_name), 'region ' || n_regionkey, 'segment ' || c_mktsegment]) AS param
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+s AS (SELECT param, list(DISTINCT c_custkey ORDER BY c_custkey) AS items FROM c GROUP BY param HAVING count(DISTINCT c_custkey) >= 3)
+SELECT len(items) AS n_items, string_agg(param, ',' ORDER BY param) AS params, items[-1] AS anchor FROM s GROUP BY items HAVING count(*) >= 3""",
     "unreferenced_dimension": "SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)",
     "glob_edge_theta": """WITH x AS (SELECT lower(n_name) AS nation, lower(r_name) AS region FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT nation, region, 'deny' AS verdict, 'ma*' AS edge FROM x WHERE regexp_matches(nation, '^ma[^/]*$') AND regexp_matches(region, '^[^/]*a$')
@@ -276,11 +285,11 @@ UNION ALL SELECT nation, region, 'not_allowed', '[a-f]*' FROM x WHERE regexp_mat
 r AS (SELECT string_split(path, '/')[1] AS root FROM u UNION ALL SELECT array_to_string(string_split(path, '/')[1:2], '/') FROM u),
 o AS (SELECT root FROM r GROUP BY root HAVING count(*) >= 3)
 SELECT page_id, max_by(root, length(root)) AS root FROM u LEFT JOIN o ON path = root OR starts_with(path, root || '/') GROUP BY page_id""",
-    "baseline_multiset_diff": f"""WITH {_FOUND}, b AS (SELECT rel, rule, message, count(*) AS n FROM f WHERE line % 3 = 0 GROUP BY ALL),
+    "baseline_multiset_diff": f"""WITH {_FOUND}, b AS (SELECT rel, rule, message, count(*) AS n FROM f WHERE fixable GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY rule, rel, message ORDER BY line) AS k FROM f)
 SELECT k.rel, k.line, k.rule, k.message FROM k LEFT JOIN b USING (rel, rule, message) WHERE k > coalesce(n, 0)""",
     "suppression_range_anti": f"WITH {_FOUND} SELECT rel, line, rule FROM f WHERE NOT EXISTS (SELECT 1 FROM g WHERE {_COVER})",
-    "stale_suppressions": f"WITH {_FOUND} SELECT rel, line, scope, rule FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.fixable AND f.line % 7 = 0 AND {_COVER})",
+    "stale_suppressions": f"WITH {_FOUND} SELECT rel, line, scope, rule FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE {_COVER})",
     "override_last_match": "SELECT o_orderpriority AS path, CASE WHEN regexp_matches(o_orderpriority, '^[^/]*-H[^/]*$') THEN 30 WHEN regexp_matches(o_orderpriority, '^[12]-[^/]*$') THEN 20 WHEN regexp_matches(o_orderpriority, '^1-[^/]*$') THEN 10 ELSE 5 END::INTEGER AS threshold, count(*) AS n FROM orders GROUP BY ALL",
     "second_occurrence": "SELECT * FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey)::INTEGER AS k FROM orders) WHERE k > 1",
     "first_offender": "SELECT conv_id, turn, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM (SELECT conv_id, turn, length(text)::INTEGER AS n, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE n < b) WHERE k = 1",
@@ -289,7 +298,6 @@ SELECT k.rel, k.line, k.rule, k.message FROM k LEFT JOIN b USING (rel, rule, mes
 SELECT conv_id, turn FROM c WHERE EXISTS (SELECT 1 FROM c b WHERE b.conv_id = c.conv_id AND b.k BETWEEN c.k - 3 AND c.k - 1 AND b.f AND NOT EXISTS (SELECT 1 FROM c x WHERE x.conv_id = c.conv_id AND x.k BETWEEN b.k AND c.k - 1 AND x.s))""",
     "majority_with_tiebreak": "SELECT l_suppkey, arg_max(l_linenumber, n * 100 - l_linenumber) AS l_linenumber, max(n) AS votes FROM (SELECT l_suppkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_suppkey",
     "enum_variant_outlier": "SELECT p_partkey, p_brand, p_size FROM (SELECT *, min(p_size) OVER (PARTITION BY p_brand) AS low FROM part) WHERE p_size > low + 40",
-    "recursive_self_reference": "SELECT event_type, count(*) AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS next FROM events) WHERE next = event_type GROUP BY event_type",
     "test_closure": f"WITH RECURSIVE {_GRAPH}, r(node) AS (SELECT unnest([1, 2])::BIGINT UNION SELECT target FROM r JOIN e ON source = node) SELECT node FROM r",
     "test_only_files": f"WITH RECURSIVE {_GRAPH}, r(node) AS (SELECT unnest([1, 2])::BIGINT UNION SELECT target FROM r JOIN e ON source = node WHERE NOT t) SELECT DISTINCT node FROM (SELECT source AS node FROM e UNION SELECT target FROM e) WHERE node NOT IN (SELECT node FROM r)",
     "hardcoded_url": "SELECT * FROM (SELECT page_id, len(regexp_extract_all(concat(url, ' ', html), 'https?://[A-Za-z0-9][^\\s<>)'']*'))::INTEGER AS n_urls FROM pages) WHERE n_urls > 0",

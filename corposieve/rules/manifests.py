@@ -6,6 +6,9 @@ import re
 import tomllib
 from collections.abc import Iterator
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from corposieve.rules.base import BUILTIN, rule
 from corposieve.rules.lines import ambiguous, bidirectional
 
@@ -226,3 +229,14 @@ def escapes(manifest: str, path: str) -> bool:
         if depth < 0:
             return True
     return path.startswith("/") or bool(re.match(r"[A-Za-z]:", path))
+
+
+def leaves_root(manifest: Column, path: Column) -> Column:
+    """``escapes`` as a fold over the parts of the path."""
+    depth = F.length(manifest) - F.length(F.replace(manifest, F.lit("/"), F.lit("")))
+    steps = F.transform(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda x: F.when(x == "..", -1).when(x.isin("", "."), 0).otherwise(1))
+    lowest = F.aggregate(
+        steps, F.struct(depth.cast("int").alias("at"), F.lit(0).alias("low")),
+        lambda s, x: F.struct((s["at"] + x).alias("at"), F.least(s["low"], s["at"] + x).alias("low")), lambda s: s["low"],
+    )
+    return (lowest < 0) | path.startswith("/") | path.rlike("^[A-Za-z]:")

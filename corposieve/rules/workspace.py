@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corposieve.functions.globs import matches_any
 from corposieve.operators import graph
 from corposieve.rules.base import RustFile, in_test, owner, rule
-from corposieve.rules.manifests import TomlFile, dependencies, escapes
+from corposieve.rules.manifests import TomlFile, dependencies, leaves_root
 
 RECORDS = (
     "rel string, functions array<struct<name:string,line:int,tokens:int,digest:string,shingles:array<bigint>,params:array<struct<name:string,type:string>>,calls:array<array<string>>>>, "
@@ -147,12 +147,11 @@ def layers(recs: DataFrame, p: dict) -> DataFrame:
 
 @rule("toml_cargo_path_deps", "workspace", "high", "Path dependencies stay in the workspace.", default=False, allow_in=["Cargo.toml"], allow_outside_workspace=False, allow_patch=False)
 def path_deps(recs: DataFrame, p: dict) -> DataFrame:
-    out = F.udf(escapes, "boolean")  # rows with a path are few
     d = declared(recs).where("path is not null")
     reason = F.coalesce(
         F.when((F.col("section") == "patch") & F.lit(not p["allow_patch"]), "patches by path aren't allowed"),
         F.when((F.col("section") != "patch") & ~matches_any(F.col("rel"), p["allow_in"]), "path dependencies aren't allowed here"),
-        F.when(F.lit(not p["allow_outside_workspace"]) & out("rel", "path"), "the path leaves the workspace"),
+        F.when(F.lit(not p["allow_outside_workspace"]) & leaves_root(F.col("rel"), F.col("path")), "the path leaves the workspace"),
     )
     return _finding(d.withColumn("_r", reason).where("_r is not null"), "toml_cargo_path_deps", F.col("rel"), F.col("line"), F.concat(F.lit("`"), "name", F.lit("`: "), "_r"))
 

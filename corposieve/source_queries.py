@@ -13,6 +13,7 @@ from corposieve.operators import edits
 from corposieve.plans import engine
 from corposieve.plans.config import default
 from corposieve.rules.catalog import builtin
+from corposieve.rules.examples import examples
 
 #: Sources by variant, and rule -> findings in it.
 RUST: list[tuple[str, dict[str, int]]] = [
@@ -45,6 +46,70 @@ def rust_ast_rules(spark, d):
     return found.groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("rel").alias("files"))
 
 
+#: Each rule's two examples: rule, path, package, source, whether the rule is to find fault with it.
+_CASES = [(k, e.path, e.package, text, bad) for k, e in sorted(examples().items()) for text, bad in ((e.fails, True), (e.passes, False)) if text]
+
+
+def rule_examples(spark, d):
+    """Every rule of single files over files made of all rules' examples: how many files of its own the rule flags."""
+    cases = F.array(*(F.struct(F.lit(rule).alias("own"), F.lit(path).alias("path"), F.lit(package).cast("string").alias("package"), F.lit(text).alias("contents")) for rule, path, package, text, _ in _CASES))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.get(cases, (F.col("doc_id") % len(_CASES)).cast("int")).alias("c"))
+    files = docs.select(F.format_string("%s/%d/%s", "c.own", "doc_id", "c.path").alias("rel"), F.substring_index("c.path", ".", -1).alias("ext"), "c.contents", "c.package", F.lit(False).alias("test_only"))
+    found = engine.analyze(files, builtin(), default(builtin(), everything=True), [k for k, *_ in _CASES], raw=True)
+    return found.where(F.substring_index("rel", "/", 1) == F.col("rule")).groupBy("rule").agg(F.countDistinct("rel").alias("files"))
+
+
+def recursive_self_reference(spark, d):
+    """A function for each document, which calls itself or, for some languages, another."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    callee = F.when(F.col("lang").isin("en", "fr"), F.lit("down")).otherwise("other")
+    body = F.format_string("//! F.\n\nfn down(n: u8) -> u8 { if n == 0 { 0 } else { %s(n - 1) } }\n", callee)
+    files = docs.select(F.format_string("src/f%d.rs", "doc_id").alias("rel"), F.lit("rs").alias("ext"), body.alias("contents"), F.lit(None).cast("string").alias("package"), F.lit(False).alias("test_only"))
+    return engine.analyze(files, builtin(), default(builtin()), ["rust_recursive_fn"]).select("rel", "line")
+
+
+#: Directives of every scope, and what they cover.
+_SCOPED = """//! Scopes.
+
+// #rw(fn: rust_println) shown
+fn a() {
+    println!("a");
+    if x {
+        println!("b");
+    }
+}
+
+fn b() {
+    println!("c");
+
+    // #rw(block: rust_println, rust_todo) shown
+    if x {
+        // TODO later
+        println!("d");
+    }
+
+    // TODO again
+    println!("e");
+}
+
+// #rw(rust_println) shown
+fn c() { println!("f"); }
+
+// #rw(fn: *) all of it
+fn d() {
+    println!("g");
+    // TODO more
+}
+"""
+
+
+def suppression_scopes(spark, d):
+    """Suppression by function, block, next line and wildcard; what is left of each file."""
+    files = _files(spark, d, [(_SCOPED, {})], "src/f%d.rs", "rs")
+    found = engine.analyze(files, builtin(), default(builtin()), ["rust_println", "rust_todo"])
+    return found.select("rel", "line", "rule")
+
+
 def cargo_manifest_rules(spark, d):
     found = engine.analyze(_files(spark, d, MANIFESTS, "c%d/Cargo.toml", "toml"), builtin(), default(builtin()), _TOML)
     return found.groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("rel").alias("files"))
@@ -82,7 +147,7 @@ def workspace_duplicates(spark, d):
     return found.select("rel", "line")
 
 
-QUERIES = {f.__name__: f for f in (rust_ast_rules, cargo_manifest_rules, directive_parse, fix_fixpoint, greedy_fix_apply, workspace_duplicates)}
+QUERIES = {f.__name__: f for f in (rust_ast_rules, rule_examples, recursive_self_reference, suppression_scopes, cargo_manifest_rules, directive_parse, fix_fixpoint, greedy_fix_apply, workspace_duplicates)}
 
 
 def _expected(variants: list[tuple[str, dict[str, int]]]) -> str:
@@ -96,6 +161,9 @@ def _q(text: str) -> str:
 
 ORACLE_SQL = {
     "rust_ast_rules": _expected(RUST),
+    "rule_examples": "SELECT rule, count(*) AS files FROM documents JOIN (VALUES " + ", ".join(f"({i}, '{k}')" for i, (k, *_, bad) in enumerate(_CASES) if bad) + f") AS v(kind, rule) ON doc_id % {len(_CASES)} = kind GROUP BY rule",
+    "recursive_self_reference": "SELECT 'src/f' || doc_id || '.rs' AS rel, 3::INTEGER AS line FROM documents WHERE lang IN ('en', 'fr')",
+    "suppression_scopes": "SELECT 'src/f' || doc_id || '.rs' AS rel, v.* FROM documents, (VALUES (12, 'rust_println'), (20, 'rust_todo'), (21, 'rust_println')) AS v(line, rule)",
     "cargo_manifest_rules": _expected(MANIFESTS),
     "directive_parse": """SELECT 'src/f' || doc_id || '.rs' AS rel, v.* FROM documents, (VALUES (3, NULL::INTEGER, 'file', 'rust_println', 'a tool prints'), (7, 8, 'next', 'rust_dbg', 'kept for now')) AS v(line, end_line, scope, rules, reason) WHERE doc_id % 5 = 3""",
     "fix_fixpoint": f"SELECT 'src/f' || doc_id || '.rs' AS rel, CASE doc_id % 2 WHEN 0 THEN {_q(_FIXED[0])} ELSE {_q(_FIXED[1])} END AS after FROM documents",
@@ -103,7 +171,8 @@ ORACLE_SQL = {
 o AS (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY s DESC, t DESC, seq) AS k FROM e),
 r(rel, k, low, keep) AS (SELECT rel, k, s, true FROM o WHERE k = 1 UNION ALL SELECT o.rel, o.k, CASE WHEN o.t < r.low THEN o.s ELSE r.low END, o.t < r.low FROM r JOIN o ON o.rel = r.rel AND o.k = r.k + 1)
 SELECT o.rel, s AS start_line, t AS end_line, seq FROM o JOIN r USING (rel, k) WHERE keep""",
-    "workspace_duplicates": r"""WITH t AS (SELECT format('f{:012d}.rs', doc_id) AS rel, regexp_replace(string_split(text, chr(10))[1], '["\\]', '', 'g') AS x FROM documents),
-m AS (SELECT rel, x, count(*) OVER (PARTITION BY x) AS n, row_number() OVER (PARTITION BY x ORDER BY rel) AS k FROM t WHERE length(x) >= 38)
-SELECT rel, 1::INTEGER AS line FROM m WHERE n >= 3 AND k > 1""",
+    "workspace_duplicates": r"""WITH t AS (SELECT format('f{:012d}.rs', doc_id) AS rel, string_split(regexp_replace(text, '["\\]', '', 'g'), chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT rel, unnest(ls) AS x, generate_subscripts(ls, 1)::INTEGER AS line FROM t),
+m AS (SELECT rel, line, count(*) OVER (PARTITION BY x) AS n, row_number() OVER (PARTITION BY x ORDER BY rel, line) AS k FROM l WHERE length(x) >= 38)
+SELECT rel, line FROM m WHERE n >= 3 AND k > 1""",
 }

@@ -8,7 +8,8 @@ import subprocess
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corposieve.functions.globs import glob_regex
@@ -100,18 +101,21 @@ def git_dirty(root: str, extensions: Iterable[str] = ()) -> list[str]:
 
 
 def source_tree(spark: SparkSession, root: str, extensions: Iterable[str] = ("rs", "toml"), paths: list[str] | None = None) -> DataFrame:
-    """Files of a tree; the driver lists paths, executors read them. A text that isn't UTF-8 fails the job."""
+    """Files of a tree that the driver lists and executors read, batch by batch; so the tree must lie where all reach it
+    (for files elsewhere, ``from_table`` over ``spark.read``). A text that isn't UTF-8 fails the job."""
     base = os.path.abspath(root)
     listed = walk(root, extensions) if paths is None else paths
     if not listed:
         return spark.createDataFrame([], FILES)
 
-    def read(rel: str) -> str:
-        return (Path(base) / rel).read_bytes().decode("utf-8")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rel in batch.column(0).to_pylist():  # a file at a time is in memory
+                yield pa.RecordBatch.from_arrays([pa.array([rel]), pa.array([(Path(base) / rel).read_bytes().decode("utf-8")])], ["rel", "contents"])
 
     rows = spark.createDataFrame([(p,) for p in listed], "rel string").repartition(max(1, min(len(listed) // 64, 512)))
-    contents = F.udf(read, "string")(F.col("rel"))
-    return rows.select("rel", F.regexp_extract("rel", r"\.([^./]+)$", 1).alias("ext"), contents.alias("contents"), F.lit(None).cast("string").alias("package"), F.lit(None).cast("boolean").alias("publishable"), F.lit(False).alias("test_only"))
+    rows = rows.mapInArrow(read, "rel string, contents string")
+    return rows.select("rel", F.regexp_extract("rel", r"\.([^./]+)$", 1).alias("ext"), "contents", F.lit(None).cast("string").alias("package"), F.lit(None).cast("boolean").alias("publishable"), F.lit(False).alias("test_only"))
 
 
 def with_package(files: DataFrame, packages: DataFrame) -> DataFrame:
@@ -137,7 +141,3 @@ def longest_prefix(df: DataFrame, path: str, owners: DataFrame, root: str, separ
     keyed = df.withColumn("_id", F.struct(*df.columns))
     best = keyed.select(F.explode(prefixes).alias(root), F.col(path).alias("_path")).distinct().join(owners.select(root).distinct(), root).groupBy("_path").agg(F.max_by(root, F.length(root)).alias(root))
     return df.join(best, F.col(path) == F.col("_path"), "left").drop("_path")
-
-
-def column_or(c: str, df: DataFrame, other: Column) -> Column:
-    return F.col(c) if c in df.columns else other

@@ -18,7 +18,8 @@ from corposieve.plans import config as conf
 from corposieve.plans import engine
 from corposieve.rules.base import Registry, Rule
 from corposieve.rules.catalog import builtin
-from corposieve.rules.manifests import TomlFile, check_text, escapes
+from corposieve.rules.examples import examples
+from corposieve.rules.manifests import TomlFile, check_text, escapes, leaves_root
 from corposieve.sources import corpus
 from corposieve.streaming import incremental
 from corposieve.syntax.parser import RustFile
@@ -391,3 +392,61 @@ def test_suppressions_and_graph_take_whole_tables(spark, tmp_path):
     while more := {step[k] for k in seen} - seen:
         seen |= more
     assert {r.node for r in queries.test_closure(spark, str(tmp_path)).collect()} == seen
+
+
+@pytest.mark.parametrize("rule", [k for k, e in examples().items() if e.fails])
+def test_rule_judges_its_examples(rule):
+    e, r = examples()[rule], builtin().rules[rule]
+    for text, bad in ((e.fails, True), (e.passes, False)):
+        f = TomlFile(text, e.path) if e.path.endswith("toml") else RustFile(text, e.path, e.package, False)
+        assert bool(list(engine.file_findings(f, [r], lambda r: dict(r.params)))) == bad
+
+
+def test_every_rule_has_guidance():
+    assert set(examples()) == set(builtin().rules)
+    assert all(r["guidance"] != r["description"] for r in engine.catalog(builtin()))
+
+
+def test_crates_are_discovered_from_manifests(spark):
+    manifest = '[package]\nname = "{}"\n\n[dependencies]\n{}\n\n[dev-dependencies]\nproptest = "1"\n'
+    code = "pub fn f(x: serde_json::Value, y: my_core::Part, z: proptest::Case, w: renamed::Thing) {}\npub use my_core::Part;\npub use chrono::Date;\n"
+    files = _files(spark, [
+        ("app/Cargo.toml", manifest.format("app", 'serde_json = "1"\nmy-core = { path = "../core" }\nrenamed = { package = "thing", version = "1" }')), ("core/Cargo.toml", manifest.format("my-core", "")),
+        ("app/src/part.rs", code), ("core/src/part.rs", code),
+    ])
+    files = corpus.with_package(files, spark.createDataFrame([("app", "app", True), ("my-core", "core", True)], "name string, root string, publishable boolean"))
+    config = engine.discover(files, conf.default(REG))
+    got = engine.analyze(files, REG, config, ["rust_pub_api_foreign_types", "rust_foreign_reexports"]).collect()
+    assert sorted((r.rel, r.line, r.rule, r.message.split("`")[1]) for r in got) == [
+        ("app/src/part.rs", 1, "rust_pub_api_foreign_types", "renamed"), ("app/src/part.rs", 1, "rust_pub_api_foreign_types", "serde_json"),
+        ("app/src/part.rs", 3, "rust_foreign_reexports", "chrono"), ("core/src/part.rs", 3, "rust_foreign_reexports", "chrono"),
+    ]
+
+
+def test_strict_configuration_and_flags(spark, tree, capsys):
+    with pytest.raises(conf.ConfigError):
+        conf.load("[rules.rust_dbg]\nenabled = true\n", REG, strict=True)
+    conf.load(conf.render_default(REG), REG, strict=True)
+    other = tree / "other.toml"
+    other.write_text("[rules.rust_dbg]\nenabled = false\n")
+    rules = ["--rule", "rust_dbg"]
+    assert cli.main([str(tree), "--config", str(other), *rules], spark=spark) == 0
+    with pytest.raises(SystemExit):
+        cli.main([str(tree), "--config", str(other), "--strict", *rules], spark=spark)
+    capsys.readouterr()
+    assert cli.main([str(tree), "--quiet", *rules], spark=spark) == 1 and capsys.readouterr().out == ""
+    assert cli.main([str(tree), *rules], spark=spark) == 1
+    out = capsys.readouterr().out.split("\n")
+    assert out[0].endswith(":") and out[1].startswith("src/lib.rs:4: ") and "rust_dbg" in out[2]
+    base = tree / "base.json"
+    base.write_text(json.dumps({"schema_version": 1, "findings": [{"rule": "rust_dbg", "path": "src/lib.rs", "message": "m", "count": 1}]}))
+    with pytest.raises(SystemExit):
+        cli.main([str(tree), "--baseline", str(base), "--baseline-forbid", "rust_dbg", *rules], spark=spark)
+    assert cli.main(["--detail", "rust_todo"]) == 0
+    assert json.loads(capsys.readouterr().out)["examples"]["fails"].startswith("// TODO")
+
+
+def test_path_escapes_by_fold(spark):
+    rows = [(m, p) for m in ("Cargo.toml", "a/Cargo.toml", "a/b/Cargo.toml") for p in ("x", "../x", "../../x", "..\\..\\..\\x", "./../y/../..", "/abs", "C:/x", "", ".", "a/../../b")]
+    got = spark.createDataFrame(rows, "m string, p string").select("m", "p", leaves_root(F.col("m"), F.col("p")).alias("out")).collect()
+    assert all(r.out == escapes(r.m, r.p) for r in got) and {r.out for r in got} == {True, False}
