@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType
 
+from corposieve.sources.corpus import spread
+
 #: A side of a join is broadcast only if its staged rows are measured to have no more bytes than this.
 BROADCAST_BYTES = 32 << 20
 
@@ -86,5 +88,7 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; documents that come in fewer splits than there are cores are dealt out."""
     bound_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found, "doc_id") if name == "documents" else found
