@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,13 @@ MIN_SHARED = 5
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that ``spark.checkpoint.dir`` names; a folder of our own only in local mode without one."""
+    """Cut lineage by a table in the folder that ``spark.checkpoint.dir`` names; a folder of our own only in local mode without one.
+
+    A written table rather than ``checkpoint()``, which computes its input twice.
+    """
     context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+    folder = context._jsc.sc().getCheckpointDir()
+    if not folder.isDefined():
         found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not found:
             if not context.master.startswith("local"):
@@ -20,37 +26,50 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
             found = "file://" + tempfile.mkdtemp(prefix="corposieve-")
         context.setCheckpointDir(found)
-    return df.checkpoint()
+        folder = context._jsc.sc().getCheckpointDir()
+    path = f"{folder.get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def similar_pairs(items: DataFrame, percent: int = 85, key: str = "key", shingles: str = "shingles", digest: str = "digest") -> DataFrame:
     """Pairs of items whose shingle sets are alike: ``left_key, right_key, shared, kind``.
 
     ``exact``: equal digests; ``near``: ``100 * shared >= percent * union``; both share at least
-    ``max(5, a tenth of the smaller set)``. Shingles are pruned to a prefix before they are joined: sets that meet
-    the bound must share one of their rarest ``size - need + 1`` shingles, so frequent shingles meet no one.
-    Items with equal digests form a class: each is paired with the class's first (``exact``), and the first stands
-    for them in near pairs. So no link between different items is lost, and no class is expanded into all pairs.
+    ``max(5, a tenth of the smaller set)``. Items with equal digests form a class: each is paired with the class's
+    first (``exact``), and the first stands for them in near pairs. So no link between different items is lost, and
+    no class is expanded into all pairs.
+
+    Plan: only shingles that two classes or more have can match, so a set with fewer of these than it needs (``need``)
+    goes before anything is joined. Of the others, sets that meet the bound must share one of their rarest
+    ``size - need + 1`` shingles (those that no other has come first, so that the rest of that prefix is short), at places
+    that leave enough shingles behind them. Frequent shingles meet no one.
     """
-    sets = items.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(shingles)).alias("s"), F.col(digest).alias("digest")).where(F.size("s") >= MIN_SHARED)
-    sets = checkpointed(sets)  # shingles are made once, though five branches read them
-    classes = sets.groupBy("digest").agg(F.min("key").alias("rep"), F.min_by("s", "key").alias("s"))
+    sets = items.select(F.col(key).alias("key"), F.array_distinct(shingles).alias("s"), F.col(digest).alias("digest")).where(F.size("s") >= MIN_SHARED)
+    sets = checkpointed(sets)  # shingles are made once, though several branches read them
+    firsts = sets.groupBy("digest").agg(F.min("key").alias("rep"))
+    classes = sets.join(firsts.select(F.col("rep").alias("key"), "digest"), ["key", "digest"], "left_semi").select(F.col("key").alias("rep"), "s")
     flat = classes.select("rep", F.size("s").alias("n"), F.explode("s").alias("g"))
-    frequency = flat.groupBy("g").agg(F.count("*").alias("df"))
+    common = flat.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    kept = checkpointed(flat.join(common, "g"))
     need = F.ceil(F.col("n") * percent / 100)
-    ranked = flat.join(frequency, "g").withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("df", "g")))
-    prefix = ranked.where(F.col("k") <= F.col("n") - need + 1).select("rep", "n", "g")
-    a, b = prefix.select(F.col("rep").alias("u"), F.col("n").alias("nu"), "g"), prefix.select(F.col("rep").alias("v"), F.col("n").alias("nv"), "g")
+    alive = kept.groupBy("rep", "n").agg(F.count("*").alias("m")).where(F.col("m") >= need).select("rep", "m")
+    ranked = kept.join(alive, "rep").withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("df", "g")))
+    prefix = ranked.where(F.col("k") <= F.col("m") - need + 1).select("rep", "n", "g", (F.col("m") - F.col("k")).alias("left"))
+    a, b = prefix.select(F.col("rep").alias("u"), F.col("n").alias("nu"), "g", F.col("left").alias("lu")), prefix.select(F.col("rep").alias("v"), F.col("n").alias("nv"), "g", F.col("left").alias("lv"))
     sized = (F.col("u") < F.col("v")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-    pairs = a.join(b, "g").where(sized).select("u", "v").distinct()
-    own = classes.select("rep", "s")
+    # the rarest shingle that both have is the first of all they share: what follows it must do
+    placed = (100 + percent) * (1 + F.least("lu", "lv")) >= percent * (F.col("nu") + F.col("nv"))
+    first = a.join(b, "g").where(sized)
+    pairs = first.groupBy("u", "v").agg(F.max(placed).alias("ok")).where("ok").select("u", "v")
+    own = classes.join(alive.select("rep"), "rep", "left_semi")
     full = pairs.join(own.toDF("u", "su"), "u").join(own.toDF("v", "sv"), "v")
     shared = F.size(F.array_intersect("su", "sv"))
     union = F.size("su") + F.size("sv") - shared
     floor = F.greatest(F.lit(MIN_SHARED), F.ceil(F.least(F.size("su"), F.size("sv")) / 10))
     near = full.where((shared >= floor) & (100 * shared >= percent * union)).select("u", "v", shared.alias("shared"))
     other = near.select(F.col("u").alias("left_key"), F.col("v").alias("right_key"), "shared", F.lit("near").alias("kind"))
-    copies = sets.select("key", "digest", F.size("s").alias("n")).join(classes.select("digest", "rep"), "digest").where("key != rep")
+    copies = sets.select("key", "digest", F.size("s").alias("n")).join(firsts, "digest").where("key != rep")
     return other.union(copies.select(F.col("rep").alias("left_key"), F.col("key").alias("right_key"), F.col("n").alias("shared"), F.lit("exact").alias("kind")))
 
 

@@ -19,7 +19,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.lines(corpus.from_table(_t(spark, d, "documents"), "doc_id", "text"))
+    return corpus.lines(corpus.from_table(corpus.spread(_t(spark, d, "documents"), "doc_id"), "doc_id", "text"))
 
 
 def line_explode_count(spark, d):
@@ -62,7 +62,7 @@ def duplicate_strings(spark, d):
 
 
 def near_dup_shingle_jaccard(spark, d):
-    docs = _t(spark, d, "documents")
+    docs = corpus.spread(_t(spark, d, "documents"), "doc_id")
     words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     grams = F.transform(text.n_grams(words, 5), lambda g: F.xxhash64(g))
     items = docs.select("doc_id", grams.alias("shingles"), F.md5(F.col("text").cast("binary")).alias("digest"))

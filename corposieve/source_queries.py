@@ -14,6 +14,7 @@ from corposieve.plans import engine
 from corposieve.plans.config import default
 from corposieve.rules.catalog import builtin
 from corposieve.rules.examples import examples
+from corposieve.sources import corpus
 
 #: Sources by variant, and rule -> findings in it.
 RUST: list[tuple[str, dict[str, int]]] = [
@@ -33,7 +34,7 @@ _TOML = ["toml_cargo_edition", "toml_cargo_feature_names", "toml_cargo_feature_n
 
 
 def _files(spark: SparkSession, d: str, variants: list[tuple[str, dict]], name: str, ext: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+    docs = corpus.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id"), "doc_id")
     kinds = F.array(*(F.lit(t) for t, _ in variants))
     return docs.select(
         F.format_string(name, "doc_id").alias("rel"), F.lit(ext).alias("ext"), F.get(kinds, (F.col("doc_id") % len(variants)).cast("int")).alias("contents"),
@@ -53,7 +54,7 @@ _CASES = [(k, e.path, e.package, text, bad) for k, e in sorted(examples().items(
 def rule_examples(spark, d):
     """Every rule of single files over files made of all rules' examples: how many files of its own the rule flags."""
     cases = F.array(*(F.struct(F.lit(rule).alias("own"), F.lit(path).alias("path"), F.lit(package).cast("string").alias("package"), F.lit(text).alias("contents")) for rule, path, package, text, _ in _CASES))
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.get(cases, (F.col("doc_id") % len(_CASES)).cast("int")).alias("c"))
+    docs = corpus.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id"), "doc_id").select("doc_id", F.get(cases, (F.col("doc_id") % len(_CASES)).cast("int")).alias("c"))
     files = docs.select(F.format_string("%s/%d/%s", "c.own", "doc_id", "c.path").alias("rel"), F.substring_index("c.path", ".", -1).alias("ext"), "c.contents", "c.package", F.lit(False).alias("test_only"))
     found = engine.analyze(files, builtin(), default(builtin(), everything=True), [k for k, *_ in _CASES], raw=True)
     return found.where(F.substring_index("rel", "/", 1) == F.col("rule")).groupBy("rule").agg(F.countDistinct("rel").alias("files"))

@@ -118,6 +118,15 @@ def source_tree(spark: SparkSession, root: str, extensions: Iterable[str] = ("rs
     return rows.select("rel", F.regexp_extract("rel", r"\.([^./]+)$", 1).alias("ext"), "contents", F.lit(None).cast("string").alias("package"), F.lit(None).cast("boolean").alias("publishable"), F.lit(False).alias("test_only"))
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df``; if it has fewer partitions than there are cores (a small table in one file), dealt out by ``by``.
+
+    Counted in the plan, without a job. A large table has more splits than that and isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, *by) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def with_package(files: DataFrame, packages: DataFrame) -> DataFrame:
     """Give each file the package whose root is its longest path prefix; ``packages``: name, root, publishable.
 
