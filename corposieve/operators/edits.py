@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -307,19 +308,25 @@ def preview(rel: str, before: str, after: str) -> str:
 def greedy(edits: DataFrame) -> DataFrame:
     """Of each file's edits (``rel, start_line, end_line, seq``) those that one pass applies, from the last line up.
 
-    A fold over a file's own edits; files are independent.
+    A scan over edits that are sorted by file and place within their partition: a task holds one batch and where the
+    edit before began, however many edits a file has.
     """
+    names = edits.columns
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        lowest, keep = 1 << 62, []
-        pdf = pdf.sort_values(["start_line", "end_line", "seq"], ascending=[False, False, True])
-        for row in pdf.itertuples():
-            ok = row.end_line < lowest
-            keep.append(ok)
-            lowest = row.start_line if ok else lowest
-        return pdf[keep]
-
-    return edits.groupBy("rel").applyInPandas(fold, edits.schema)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, lowest = None, 0
+        for batch in batches:
+            rel, start, end = (batch.column(names.index(c)).to_pylist() for c in ("rel", "start_line", "end_line"))
+            keep = []
+            for k in range(batch.num_rows):
+                ok = rel[k] != file or end[k] < lowest
+                if ok:
+                    file, lowest = rel[k], start[k]
+                keep.append(ok)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    placed = edits.repartition("rel").sortWithinPartitions("rel", F.desc("start_line"), F.desc("end_line"), "seq")
+    return placed.mapInArrow(scan, edits.schema)
 
 
 __all__ = ["F"]

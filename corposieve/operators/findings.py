@@ -89,11 +89,34 @@ def majority(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return counts.groupBy(*group).agg(F.max_by(F.struct(value, "_n"), F.struct("_n", (-F.col(value)).alias("_v"))).alias("_b")).select(*group, F.col(f"_b.{value}").alias(value), F.col("_b._n").alias("votes"))
 
 
+#: ``order`` values to a block, for ``islands``.
+BLOCK = 1 << 16
+
+
 def islands(df: DataFrame, group: list[str], order: str) -> DataFrame:
-    """``df`` with ``island``: rows whose ``order`` values follow one another share it; and their place in it."""
-    w = Window.partitionBy(*group).orderBy(order)
-    marked = df.withColumn("island", F.col(order) - F.row_number().over(w))
-    return marked.withColumn("place", F.row_number().over(Window.partitionBy(*group, "island").orderBy(order)))
+    """``df`` with ``island``, the first ``order`` value of the run of values following one another that a row is in; and its ``place`` in it, from 1.
+
+    Rows of equal values share a place. A window sees one block of values of a group, so that a group of a third of all rows is
+    dealt out; runs that go on over the end of a block are joined by a window over blocks, a row each.
+    """
+    block = F.floor(F.col(order) / BLOCK)
+    w = Window.partitionBy(*group, "_block").orderBy(order)
+    before = F.lag(order).over(w)
+    rows = df.withColumn("_block", block).withColumn("_new", F.when(before.isNull() | (F.col(order) - before > 1), F.col(order)))
+    rows = rows.withColumn("_first", F.max("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = rows.groupBy(*group, "_block").agg(F.min(order).alias("_low"), F.max(order).alias("_high"), F.max("_first").alias("_last"))
+    over = Window.partitionBy(*(F.col(c) for c in group)).orderBy("_block")
+    goes_on = (F.col("_low") == F.col("_block") * BLOCK) & (F.lag("_high").over(over) == F.col("_block") * BLOCK - 1)
+    blocks = blocks.withColumn("_on", F.coalesce(goes_on, F.lit(False)))
+    own = F.when(~F.col("_on") | (F.col("_last") != F.col("_low")), F.col("_last"))  # where the run at the block's end began, if within it
+    blocks = blocks.withColumn("_from", F.last(own, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)))
+    carried = blocks.where("_on").select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), F.col("_block").alias("_b"), F.col("_low").alias("_l"), "_from")
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]
+    match = (F.col("_block") == F.col("_b")) & (F.col("_first") == F.col("_l"))
+    for x in same:
+        match = match & x
+    out = rows.join(carried, match, "left").withColumn("island", F.coalesce("_from", "_first"))
+    return out.withColumn("place", F.col(order) - F.col("island") + 1).select(*df.columns, "island", "place")
 
 
 def first_offender(df: DataFrame, group: list[str], order: str, key: str) -> DataFrame:

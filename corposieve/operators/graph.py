@@ -139,16 +139,26 @@ def edge_matches(rows: DataFrame, edges: list[tuple[str, str, list[str], list[st
 
 
 def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes reachable from ``seeds`` (node) along ``edges`` (source, target): a frontier loop with an anti join.
+    """Nodes reachable from ``seeds`` (node) along ``edges`` (source, target), cycles included.
 
-    Recursive SQL knows no UNION that would stop on cycles. Each round joins the frontier alone.
+    Recursive SQL knows no UNION that would stop on cycles. Each round follows jumps of 1, 2, 4, ... edges, so that a
+    chain takes a number of rounds that grows as the logarithm of its length; where the table of jumps would become
+    several times that of edges, rounds go on edge by edge.
     """
-    seen = checkpointed(seeds.select("node").distinct())
-    frontier = seen
-    while not frontier.isEmpty():
-        frontier = checkpointed(edges.join(frontier.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti"))
-        seen = checkpointed(seen.union(frontier))
-    return seen
+    step = checkpointed(edges.select("source", "target").where("source != target").distinct())
+    most = 4 * step.count() + 1000
+    seen, jump, doubling = checkpointed(seeds.select("node").distinct()), step, True
+    while True:
+        reached = jump.join(seen, F.col("source") == F.col("node"), "left_semi").select(F.col("target").alias("node"))
+        seen = checkpointed(seen.union(reached).distinct())
+        ahead = step.join(seen, F.col("source") == F.col("node"), "left_semi").select(F.col("target").alias("node"))
+        if ahead.join(seen, "node", "left_anti").isEmpty():
+            return seen
+        if doubling:
+            twice = jump.toDF("source", "middle").join(jump.toDF("middle", "target"), "middle").select("source", "target").where("source != target").distinct()
+            twice = checkpointed(twice)
+            doubling = twice.count() <= most
+            jump = twice if doubling else step
 
 
 def test_only(roots_production: DataFrame, edges: DataFrame) -> DataFrame:

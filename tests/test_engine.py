@@ -450,3 +450,60 @@ def test_path_escapes_by_fold(spark):
     rows = [(m, p) for m in ("Cargo.toml", "a/Cargo.toml", "a/b/Cargo.toml") for p in ("x", "../x", "../../x", "..\\..\\..\\x", "./../y/../..", "/abs", "C:/x", "", ".", "a/../../b")]
     got = spark.createDataFrame(rows, "m string, p string").select("m", "p", leaves_root(F.col("m"), F.col("p")).alias("out")).collect()
     assert all(r.out == escapes(r.m, r.p) for r in got) and {r.out for r in got} == {True, False}
+
+
+def test_islands_over_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    for size in (4, 7):
+        monkeypatch.setattr(findings, "BLOCK", size)
+        rows = [(g, v) for g in ("a", "b", None) for v in range(-10, 60) if rng.random() < 0.8] + [("a", 3), ("a", 3)]
+        want, places = set(), {}
+        for g in ("a", "b", None):
+            values = {v for h, v in rows if h == g}
+            for v in values:
+                first = v
+                while first - 1 in values:
+                    first -= 1
+                places[g, v] = (first, v - first + 1)
+        want = sorted(((g, v, *places[g, v]) for g, v in rows), key=str)
+        got = sorted((tuple(r) for r in findings.islands(spark.createDataFrame(rows, "g string, v long"), ["g"], "v").collect()), key=str)
+        assert got == want
+
+
+def test_closure_by_plain_search(spark):
+    import random
+
+    rng = random.Random(4)
+    for n, m in ((60, 58), (60, 150), (200, 190)):
+        edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        seen, todo = set(), [0, n + 5]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [b for a, b in edges if a == x]
+        got = graph.closure(spark.createDataFrame([(0,), (n + 5,)], "node long"), spark.createDataFrame(edges, "source long, target long"))
+        assert {r.node for r in got.collect()} == seen
+
+
+def test_similar_pairs_by_brute_force(spark):
+    import random
+
+    rng, rows = random.Random(5), []
+    for i in range(60):
+        base = rows[rng.randrange(len(rows))][1] if rows and rng.random() < 0.7 else [rng.randrange(40 if i % 2 else 10**6) for _ in range(rng.randrange(5, 40))]
+        s = [x if rng.random() > 0.06 else rng.randrange(10**6) for x in base]
+        rows.append((i, s, str(sorted(set(s)))))
+    for percent in (60, 85, 100):
+        sets = {i: set(s) for i, s, _ in rows if len(set(s)) >= 5}
+        first = {}
+        for i, _, d in rows:
+            if i in sets:
+                first.setdefault(d, i)
+        reps = sorted(first.values())
+        want = {(u, v, len(sets[u] & sets[v]), "near") for u in reps for v in reps if u < v and 100 * len(sets[u] & sets[v]) >= percent * len(sets[u] | sets[v]) and len(sets[u] & sets[v]) >= 5}
+        want |= {(first[d], i, len(sets[i]), "exact") for i, _, d in rows if i in sets and first[d] != i}
+        got = graph.similar_pairs(spark.createDataFrame(rows, "key long, shingles array<long>, digest string"), percent)
+        assert {tuple(r) for r in got.collect()} == want
