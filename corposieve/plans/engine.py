@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 
@@ -22,8 +23,23 @@ from corposieve.rules.manifests import TomlFile
 LINE_ONLY = {"rust_wildcard_imports", "rust_unbalanced_crate_root", "rust_macro_hidden_items"}
 
 
+#: Line rules that judge a file as a whole.
+WHOLE_FILE = {"rust_ffi_crate_naming", "rust_module_docs", "rust_no_prelude", "rust_suppression_directives", "rust_too_many_lines_in_file"}
+_REGISTRATION = re.compile(r"(full_)?(line|ast|toml)_rule|\w+_(ast_|toml_)?test")
+
+
+def hidden_lines(f: RustFile) -> set[int]:
+    """Lines of ``EXAMPLES`` constants and of macros that register rules: they quote what rules look for."""
+    out: set[int] = set()
+    for n in f.of("Const", "MacroCall"):
+        if (n.kind == "Const" and n.name == "EXAMPLES") or (n.kind == "MacroCall" and n.parent.kind in ("SourceFile", "Module") and _REGISTRATION.fullmatch(n.name or "")):
+            out.update(range(n.line, n.end_line + 1))
+    return out
+
+
 def file_findings(f: RustFile | TomlFile, rules: list[Rule], params: Callable[[Rule], dict]) -> Iterator[tuple]:
     """Raw findings of one file. Rules over trees skip a source that doesn't parse; line rules don't."""
+    hidden = hidden_lines(f) if isinstance(f, RustFile) and ("EXAMPLES" in f.text or "_rule!" in f.text or "_test!" in f.text) else set()
     for r in rules:
         if isinstance(f, RustFile):
             if r.kind not in ("rust-ast", "rust-line") or (r.kind == "rust-ast" and f.errors):
@@ -36,6 +52,8 @@ def file_findings(f: RustFile | TomlFile, rules: list[Rule], params: Callable[[R
             else:
                 line = at.line
                 column = f.column_at(at.start) if r.kind == "rust-ast" and r.id not in LINE_ONLY else None
+            if line in hidden and r.kind == "rust-line" and r.id not in WHOLE_FILE:
+                continue
             yield f.rel, line, column, r.id, message, r.fixable
 
 
@@ -98,21 +116,30 @@ def release() -> None:
         _held.pop().unpersist()
 
 
+def workspace_rules(registry: Registry, config: Config, only: list[str] | None = None) -> list[Rule]:
+    return [r for r in registry.rules.values() if (only is None or r.id in only) and config.rules[r.id].enabled and r.kind in ("rust-workspace", "workspace")]
+
+
+def scoped(recs: DataFrame, config: Config, rule: Rule) -> DataFrame:
+    """The records that a rule across files sees."""
+    from corposieve.functions.globs import in_scope
+
+    c = config.rules[rule.id]
+    return recs.where(in_scope(F.col("rel"), c.only, c.ignore))
+
+
 def workspace(files: DataFrame, registry: Registry, config: Config, only: list[str] | None = None) -> DataFrame | None:
     """Findings of rules across files, after suppression; None if no such rule is selected."""
     from corposieve.rules.workspace import records
 
-    rules = [r for r in registry.rules.values() if (only is None or r.id in only) and config.rules[r.id].enabled and r.kind in ("rust-workspace", "workspace")]
+    rules = workspace_rules(registry, config, only)
     if not rules:
         return None
     recs = records(files).persist(StorageLevel.DISK_ONLY)  # read by each rule; ``release`` drops it
     _held.append(recs)
     out = None
     for r in rules:
-        c = config.rules[r.id]
-        from corposieve.functions.globs import in_scope
-
-        found = r.check(recs.where(in_scope(F.col("rel"), c.only, c.ignore)), dict(r.params) | c.params)
+        found = r.check(scoped(recs, config, r), dict(r.params) | config.rules[r.id].params)
         out = found if out is None else out.unionByName(found)
     return ops.suppress(out, directives(files), workspace=True) if config.allow_suppressions else out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
@@ -507,3 +508,37 @@ def test_similar_pairs_by_brute_force(spark):
         want |= {(first[d], i, len(sets[i]), "exact") for i, _, d in rows if i in sets and first[d] != i}
         got = graph.similar_pairs(spark.createDataFrame(rows, "key long, shingles array<long>, digest string"), percent)
         assert {tuple(r) for r in got.collect()} == want
+
+
+def test_cache_tiers(spark, tmp_path, monkeypatch):
+    cache = f"file://{tmp_path}/cache"
+    long = "a text of more than forty characters, three times over"
+    rows = [(f"src/f{i}.rs", f'//! F.\n\nfn f{i}() {{\n    g("{long}");\n    dbg!({i});\n}}\n') for i in range(4)]
+    only = ["rust_dbg", "rust_duplicate_strings"]
+    config = conf.default(REG)
+    parsed, ran = [], []
+    single, rule = engine.analyze, REG.rules["rust_duplicate_strings"]
+    monkeypatch.setattr(engine, "analyze", lambda f, *a: parsed.append(f.count()) or single(f, *a))
+    reg = Registry()
+    reg.rules = REG.rules | {rule.id: replace(rule, check=lambda recs, p: ran.append(1) or rule.check(recs, p))}
+
+    def run(rows):
+        got = incremental.check(_files(spark, rows), cache, reg, config, only).collect()
+        assert [tuple(r)[:5] for r in got] == [tuple(r)[:5] for r in engine.check(_files(spark, rows), REG, config, only).collect()]
+        return len(got)
+
+    monkeypatch.setattr(engine, "check", lambda files, *a: engine.ordered(single(files, *a).unionByName(engine.workspace(files, *a))))
+    assert run(rows) == 7 and parsed == [4] and len(ran) == 1
+    assert run(rows) == 7 and parsed == [4] and len(ran) == 1  # complete
+    rows[0] = (rows[0][0], rows[0][1].replace("dbg!(0)", "h(0)"))
+    assert run(rows) == 6 and parsed == [4, 1] and len(ran) == 1  # a file, and no rule across files
+    rows[1] = (rows[1][0], rows[1][1].replace("three", "four"))
+    assert run(rows) == 5 and parsed == [4, 1, 1] and len(ran) == 2
+
+
+def test_line_rules_skip_examples_and_registrations():
+    code = '//! R.\n\nconst EXAMPLES: &str = "\n// TODO in an example\n";\n\nline_rule! {\n    // TODO in a registration\n}\n\nfn f() {\n    // TODO here\n}\n'
+    f = RustFile(code, "src/rule.rs")
+    assert not f.errors
+    got = [x[1] for x in engine.file_findings(f, [REG.rules["rust_todo"]], lambda r: dict(r.params))]
+    assert got == [12]
