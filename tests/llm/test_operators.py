@@ -73,6 +73,43 @@ def test_odd_tables(spark, odd, name):
     assert OPERATORS[name](frame(spark, [])).count() == 0
 
 
+def test_odd_rows_have_defined_values(spark, odd):
+    """What each operator says of nulls, empty and long texts, repeated rows and ids."""
+    df = frame(spark, odd)
+    by = lambda out, *cols: Counter(tuple(r[c] for c in ("doc_id", *cols)) for r in out.collect())
+    got = by(near_dup.near_dup(df), "n_shingles", "component_id", "kept")
+    assert got == Counter({(1, 0, 1, True): 1, (2, 0, 2, True): 1, (3, 0, 3, True): 1, (4, 1, 4, True): 2, (None, 5, None, True): 1, (5, 4, 5, True): 1, (5, 1, 5, True): 1, (6, 2, 6, True): 1, (7, 2, 6, False): 1, (8, 4, 8, True): 1})
+    got = by(quality_rules.quality_rules(df), "n_words", "base_failed", "kept")
+    assert got == Counter({(1, 0, True, False): 1, (2, 0, True, False): 1, (3, 0, True, False): 1, (4, 1, True, False): 2, (None, 9, True, False): 1, (5, 8, True, False): 1, (5, 2, True, False): 1, (6, 80_000, True, False): 1, (7, 80_000, True, False): 1, (8, 12, True, False): 1})
+    got = lm_score.lm_score(df).collect()
+    assert {(r.doc_id, r.n_words) for r in got if r.n_words == 0} == {(1, 0), (2, 0), (3, 0)} and all((r.per_word is None) == (r.n_words == 0) and r.log_likelihood <= 0 for r in got)
+    assert len({r.log_likelihood for r in got if r.doc_id == 4}) == 1
+    got = by(license_scan.license_scan(df), "license")
+    assert set(got) == {(r[0], None) for r in odd}
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "same line of text")], "item_id long, text string")
+    got = by(decontaminate.decontaminate(df, items), "contaminated", "n_items")
+    assert got == Counter({(1, False, 0): 1, (2, False, 0): 1, (3, False, 0): 1, (4, False, 0): 2, (None, True, 1): 1, (5, True, 1): 2, (6, False, 0): 1, (7, False, 0): 1, (8, False, 0): 1})
+    assert not any(r.contaminated for r in decontaminate.decontaminate(df, items.limit(0)).collect())
+    got = sharding.shard(df).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, *_ in odd)
+
+
+def test_columns_of_clashing_names_pass_through(spark, rows):
+    clash = ["copy", "shard", "slot", "n", "w", "h", "p", "good", "evidence", "of", "host", "path", "kept", "_u", "_t", "_s", "_k", "_cdf", "_h", "_p", "_part", "_at", "_key", "_gone", "hits", "row", "place"]
+    df = frame(spark, rows, extra=False).select("*", *(F.lit(f"mine {c}").alias(c) for c in clash))
+    mine = [c for c in clash if c != "copy"]
+    same = lambda out, cols: all(r[c] == f"mine {c}" for r in out.select(*cols).collect() for c in cols)
+    assert same(mixing.mix(df), mine)
+    labels = df.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    kept = quality_model.quality_classifier(df, labels)
+    assert kept.columns == df.columns and same(kept, clash)
+    clean = decontaminate.without_contaminated(df, df.limit(3).select(F.col("doc_id").alias("item_id"), "text"))
+    assert clean.columns == df.columns and same(clean, clash)
+    placed = sharding.shard(df, texts=True)
+    assert same(placed, [c for c in mine if c not in ("shard", "slot")]) and placed.count() == len(rows)
+    assert lm_score.lm_score(df).count() == near_dup.near_dup(df).count() == line_dedup.line_dedup(df).count() == len(rows)
+
+
 def test_odd_mixing_and_pages(spark, odd):
     out = mixing.mix(frame(spark, odd), epochs=3.0)
     assert set(out.columns) == set(frame(spark, odd).columns)
@@ -530,6 +567,30 @@ def test_sharding_law(spark, rows):
         assert all(abs(sum(r.source == source for r in s) - n / 24) < 2 for s in by.values())  # both cuts round
 
 
+def test_copies_of_a_document_are_far_apart(spark):
+    """Mixing, then sharding: the copies of one document come to different shards."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    copies = mixing.mix(docs, epochs=3.0).drop("copy")
+    got = defaultdict(list)
+    placed = sharding.shard(copies).collect()
+    n = len(placed)
+    for r in placed:
+        got[r.doc_id].append(r.shard * n // 24 + r.slot)
+    gaps = [b - a for x in got.values() for a, b in zip(sorted(x), sorted(x)[1:], strict=False)]
+    assert len(gaps) > 4000 and min(gaps) > n // 200 and sorted(gaps)[len(gaps) // 2] > n // 10
+
+
+def test_shards_are_written_with_their_texts(spark, rows, odd, tmp_path):
+    df = frame(spark, rows + odd)
+    sharding.write_shards(sharding.shard(df, texts=True), f"file://{tmp_path}/shards")
+    got = spark.read.parquet(f"file://{tmp_path}/shards").collect()
+    assert Counter((r.doc_id, r.text, r.lang) for r in got) == Counter((d, t, lang) for d, t, lang, *_ in rows + odd)
+    plain = Counter((r.doc_id, r.shard, r.slot, r.size) for r in sharding.shard(df).collect())
+    ours = Counter((r.doc_id, r.shard, r.slot, r.size) for r in got)
+    assert ours == plain and {(r.shard, r.slot) for r in got} == {(s, k) for _, s, k, _ in plain}
+    assert sharding.shard(frame(spark, []), texts=True).count() == 0
+
+
 def test_warc_round_trip(spark):
     rng = random.Random(12)
     html = ["", "a", "ü" * 7, *("".join(chr(rng.randrange(32, 1000)) for _ in range(n)) for n in (5, 8191, 8192, 8193, 32_000, 70_000, 300_000))]
@@ -551,3 +612,68 @@ def test_warc_parses_plain_files_and_rejects_broken_frames():
     assert warc.unchunked(b"3;x=y\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
     with pytest.raises(ValueError):
         warc.unchunked(b"3\r\nabcd\r\n0\r\n\r\n")
+
+
+def _tampered(spark, tmp_path, change):
+    """A page of several segments, its records changed by ``change``, read back."""
+    html = "".join(f"<p>{i}</p>" for i in range(20_000))
+    path = f"file://{tmp_path}/warc"
+    files = warc.write_warc(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), path)
+    name = files.first().path
+    with open(name, "rb") as f:
+        records = list(warc.parse(f))
+    assert len(records) > 3
+    with open(name, "wb") as f:
+        for fields, block in change(records):
+            kind = fields.pop("warc-type")
+            fields.pop("content-length")
+            f.write(warc.record(kind, [(k, v) for k, v in fields.items()], block))
+    return warc.read_warc(files, path)
+
+
+@pytest.mark.parametrize("change", [
+    lambda x: x[:2] + x[3:], lambda x: x[:-1], lambda x: [(f | ({"warc-segment-total-length": "7"} if "warc-segment-total-length" in f else {}), b) for f, b in x],
+    lambda x: [(f, b.replace(b"<p>5</p>", b"<p>6</p>")) for f, b in x],
+], ids=["segment lost", "end lost", "wrong total", "wrong digest"])
+def test_warc_rejects_broken_archives(spark, tmp_path, change):
+    with pytest.raises(Exception, match="segments missing|digest"):
+        _tampered(spark, tmp_path, change).collect()
+
+
+def test_warc_takes_segments_in_any_order(spark, tmp_path):
+    got = _tampered(spark, tmp_path, lambda x: x[::-1]).collect()
+    assert len(got) == 1 and got[0].payload.decode().endswith("<p>19999</p>")
+
+
+def test_warc_record_ids_are_unique(spark, tmp_path):
+    pages = [(1, "u", "a"), (1, "u", "a"), (2, "u", "a"), (2, "u", "a"), (3, "u", "b"), (4, "u", "b"), (None, "u", "b"), (None, "u", "b"), (5, "u", "z" * 70_000), (5, "u", "z" * 70_000)]
+    files = warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    records = []
+    for r in files.collect():
+        with open(r.path, "rb") as f:
+            records += [x for x, _ in warc.parse(f)]
+    ids = [x["warc-record-id"] for x in records]
+    assert len(ids) == len(set(ids)) and all(x["warc-refers-to"] in ids for x in records if "warc-refers-to" in x)
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_warc(files, f"file://{tmp_path}/w").collect())
+    assert got == Counter({(1, "response", None): 2, (2, "revisit", 1): 2, (3, "response", None): 1, (4, "revisit", 3): 1, (None, "response", None): 2, (5, "response", None): 2})
+
+
+def test_decontamination_recall_by_substitutions(spark):
+    """Every way to change two words of a 12-word item is seen; changes of a sixth of longer items nearly always."""
+    from itertools import combinations
+
+    rng, items, docs = random.Random(41), [], []
+    base = [f"q{i}" for i in range(12)]
+    items.append((0, " ".join(base)))
+    for n, (i, j) in enumerate(combinations(range(12), 2)):
+        w = list(base)
+        w[i] = w[j] = "changed"
+        docs.append((n, f"{prose(rng, 20)} {' '.join(w)} {prose(rng, 20)}", "", "", 1))
+    for n in range(200):
+        w = [f"r{n}_{i}" for i in range(20)]
+        items.append((1 + n, " ".join(w)))
+        for k in rng.sample(range(20), 3):
+            w[k] = "changed"
+        docs.append((1000 + n, f"{prose(rng, 20)} {' '.join(w)} {prose(rng, 20)}", "", "", 1))
+    got = {r.doc_id: r.contaminated for r in decontaminate.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum(got[n] for n in range(66)) == 66 and sum(got[1000 + n] for n in range(200)) >= 198

@@ -54,6 +54,14 @@ def test_stages_and_run(spark, tables):
     assert four.columns == docs.columns and ids(four) <= every
     out = pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in out} <= every - bad - copies - leaks and len({r.shard for r in out}) == 24
+    text = {r[0]: r[1] for r in rows}
+    assert all(r.text == text[r.doc_id] and r.source == f"s{r.doc_id % 4}" for r in out)
+
+
+def test_shards_are_written(spark, tables, tmp_path):
+    pipeline.write(spark, tables[0], f"file://{tmp_path}/out")
+    got = spark.read.parquet(f"file://{tmp_path}/out").select("shard", "slot", "text").collect()
+    assert len({(r.shard, r.slot) for r in got}) == len(got) > 100 and all(r.text for r in got)
 
 
 def test_stages_take_odd_tables(spark, tables):
