@@ -209,12 +209,22 @@ def transmute_usage(file, p):
             yield c, "transmute without a SAFETY comment"
 
 
-def _bound_comment(file, line, base, index) -> bool:
-    for i in range(line - 2, max(-1, line - 5), -1):
+def _bound_comment(file, x) -> bool:
+    """A ``// BOUNDS:`` comment that names the container and part of the index, right above code, in a block around the access."""
+    base = x.base.compact.split(".")[-1]
+    parts = {t.text for t in x.index.tokens if t.kind == "ident"}
+    around = {b.pre for b in x.up("StmtList")}
+    for i in range(x.line - 2, -1, -1):
         t = file.lines[i].strip()
-        if t and not t.startswith("//"):
-            return False
-        if "BOUNDS:" in t and re.search(r"(?<!\w)" + re.escape(base.split(".")[-1]) + r"(?!\w)", t) and re.search(r"(?<!\w)" + re.escape(index) + r"(?!\w)", t):
+        if not t.startswith("//") or "BOUNDS:" not in t or not re.search(r"(?<!\w)" + re.escape(base) + r"(?!\w)", t):
+            continue
+        if not any(re.search(r"(?<!\w)" + re.escape(p) + r"(?!\w)", t) for p in parts):
+            continue
+        below = i + 1
+        while below < len(file.lines) and file.lines[below].strip().startswith("//"):
+            below += 1
+        inner = max((b for b in file.of("StmtList") if b.line <= i + 1 <= b.end_line), key=lambda b: b.pre, default=None)
+        if below < len(file.lines) and file.lines[below].strip() and inner is not None and inner.pre in around:
             return True
     return False
 
@@ -223,7 +233,7 @@ def _bound_comment(file, line, base, index) -> bool:
 def unchecked_indexing(file, p):
     for x in file.of("IndexExpr"):
         base, index = x.base.compact, x.index.compact
-        if in_test(x) or (x.index.kind == "Literal" and x.index.lit == "num") or (x.index.kind == "RangeExpr" and x.index.lo is None and x.index.hi is None) or _bound_comment(file, x.line, base, index):
+        if in_test(x) or (x.index.kind == "Literal" and x.index.lit == "num") or (x.index.kind == "RangeExpr" and x.index.lo is None and x.index.hi is None) or _bound_comment(file, x):
             continue
         proved, inside = False, x
         for up in x.up():
@@ -240,14 +250,14 @@ def unchecked_indexing(file, p):
             elif up.kind == "ClosureExpr" and up.parent.kind == "MethodCallExpr" and up.parent.name in ("find", "position", "any", "all", "filter", "map", "for_each"):
                 r = up.parent.receiver.compact
                 pats = [q.pat.compact.lstrip("&") for q in up.params]
-                if index in pats and re.match(r"\(0\.\." + re.escape(base) + r"\.len\(\)\)$", r):
+                if index.lstrip("*") in pats and re.match(r"\(0\.\." + re.escape(base) + r"\.len\(\)\)$", r):
                     proved = True
             elif up.kind == "MatchArm" and re.match(r"Ok\(" + re.escape(index) + r"\)$", up.pat.compact) and re.match(re.escape(base) + r"\.binary_search(_by|_by_key)?\(", up.parent.expr.compact):
                 proved = True
             if proved:
                 break
             inside = up
-        if not proved and not re.search(r"%" + re.escape(base) + r"\.len\(\)$", index.strip("()")):
+        if not proved and not re.search(r"%" + re.escape(base) + r"\.len\(\)\)?$", index):
             yield x, f"`{base}[{index}]` may be out of bounds"
 
 

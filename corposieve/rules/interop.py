@@ -56,7 +56,7 @@ def dll_boundary_types(file, p):
 
 @rule("rust_ffi_crate_naming", "rust-line", "low", "Crates of foreign interfaces are named so.")
 def ffi_crate_naming(file, p):
-    if not file.package:
+    if not file.package or "wasm_bindgen" in file.text:
         return
     exports = [f for f in file.of("Fn") if f.abi == "C" and f.body is not None and no_mangle(f)]
     imports = [b for b in file.of("ExternBlock") if b.abi == "C"]

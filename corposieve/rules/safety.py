@@ -40,15 +40,22 @@ def ambient_syscall(file, p):
             yield c, f"`{name}` reaches the system directly"
 
 
+#: Compilers, which a build has anyway, and what crates that build a C library may run besides.
+_COMPILERS = {"c++", "cargo", "cc", "clang", "gcc", "rustc"}
+_MAKERS = {"bash", "cmake", "make", "ninja", "sh"}
+
+
 @ast("rust_build_rs_external_tool", "medium", "Build scripts run no outside tools.")
 def build_rs_external_tool(file, p):
     if not file.rel.endswith("build.rs"):
         return
+    folder = file.rel.split("/")[-2] if "/" in file.rel else ""
+    tools = _COMPILERS | (_MAKERS if re.search("[-_]sys$", folder) else set())
     for c in file.of("CallExpr", "MethodCallExpr", "TryExpr"):
         if c.kind == "CallExpr":
             path = callee(c)
             if len(path) >= 2 and path[-2:] == ["Command", "new"] and c.args and c.args[0].kind == "Literal":
-                if string_value(c.args[0].value) not in ("rustc", "cargo", "git"):
+                if string_value(c.args[0].value) not in tools:
                     yield c, f"the build runs {c.args[0].value}"
             elif path and path[0] in ("bindgen", "pkg_config"):
                 yield c, f"the build calls {path[0]}"

@@ -542,3 +542,30 @@ def test_line_rules_skip_examples_and_registrations():
     assert not f.errors
     got = [x[1] for x in engine.file_findings(f, [REG.rules["rust_todo"]], lambda r: dict(r.params))]
     assert got == [12]
+
+
+@pytest.mark.parametrize(("code", "n"), [
+    ("// BOUNDS: k is below cells.len().\n    use_it(cells[k]);", 0), ("// BOUNDS: k is below cells.len().\n\n    use_it(cells[k]);", 1), ("// BOUNDS: seen above.\n    use_it(cells[k]);", 1),
+    ("// BOUNDS: k fits rows and cells alike.\n    use_it(rows[k]);\n    pause();\n    use_it(cells[k]);", 0), ("if k > 1 {\n        // BOUNDS: k fits cells.\n        pause();\n    }\n    use_it(cells[k]);", 1),
+    ("for j in 0..cells.len() { use_it(cells[(j + 2) % cells.len()]); }", 0), ("let at = (0..cells.len()).position(|j| cells[j] > 3);", 0), ("let at = (0..cells.len()).any(|j| rows[j] > 3);", 1),
+    ("let at = (0..cells.len()).find(|j| cells[*j] > 3);", 0), ("// BOUNDS: cells is long enough.\n    use_it(&cells[..k]);", 1), ("// BOUNDS: k is below cells.len().\n    use_it(&cells[..k]);", 0),
+])
+def test_indexing_in_bounds(code, n):
+    assert len(found("rust_unchecked_indexing", f"fn f(cells: &[u8], rows: &[u8], k: usize) {{\n    {code}\n}}\n")) == n
+
+
+def test_wasm_crates_name_their_exports_otherwise():
+    code = '#[no_mangle]\npub extern "C" fn go() {}\n'
+    assert found("rust_ffi_crate_naming", code, package="app") and not found("rust_ffi_crate_naming", "use wasm_bindgen::JsValue;\n" + code, package="app")
+
+
+@pytest.mark.parametrize(("text_", "n"), [
+    ('[package]\nname = "m"\nrust-version.workspace = true\n', 0), ('[package]\nname = "m"\n', 1), ('[package]\nname = "m"\nrust-version = "1.85"\n', 1), ('[workspace]\nmembers = []\n\n[workspace.package]\nedition = "2024"\n', 1),
+])
+def test_msrv_of_members(text_, n):
+    assert len(check_text("toml_cargo_msrv", text_, "crates/m/Cargo.toml" if "[package]" in text_ else "Cargo.toml")) == n
+
+
+@pytest.mark.parametrize(("tool", "rel", "n"), [("gcc", "build.rs", 0), ("make", "build.rs", 1), ("make", "crates/zip-sys/build.rs", 0), ("protoc", "crates/zip-sys/build.rs", 1), ("git", "build.rs", 1), ("make", "src/lib.rs", 0)])
+def test_tools_of_build_scripts(tool, rel, n):
+    assert len(found("rust_build_rs_external_tool", f'fn main() {{ let _ = std::process::Command::new("{tool}").status(); }}\n', rel)) == n
