@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,11 +51,35 @@ def module_edges(files: DataFrame) -> DataFrame:
     return found.join(rust.select(F.col("rel").alias("target")), "target", "left_semi").select("source", "target", "requires_test")
 
 
+def test_targets(files: DataFrame) -> DataFrame:
+    """``node``: files that a manifest names as a test or benchmark target (``[[test]]``, ``[[bench]]`` with a path)."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for rel, text in zip(batch["rel"], batch["contents"], strict=True):
+                try:
+                    doc = tomllib.loads(text)
+                except tomllib.TOMLDecodeError:
+                    continue
+                for kind in ("test", "bench"):
+                    for t in doc.get(kind) or []:
+                        if isinstance(t, dict) and isinstance(t.get("path"), str):
+                            rows.append(posixpath.normpath(posixpath.join(posixpath.dirname(rel), t["path"])))
+            yield pd.DataFrame({"node": pd.Series(rows, dtype=object)})
+
+    manifests = files.where(F.col("rel").rlike(r"(^|/)Cargo\.toml$")).select("rel", "contents")
+    return manifests.mapInPandas(scan, "node string").distinct()
+
+
 def classify(files: DataFrame) -> DataFrame:
-    """``files`` with ``test_only``: below tests or benches, or in the module graph but not reached by production."""
-    edges = module_edges(files).persist()
-    roots = files.where(F.col("rel").rlike(_ROOT.pattern) & ~F.col("rel").rlike(_TEST.pattern)).select(F.col("rel").alias("node"))
-    only = graph.test_only(roots, edges).select(F.col("node").alias("_node"), F.lit(True).alias("_only"))
-    out = files.join(only, F.col("rel") == F.col("_node"), "left")
-    reached = F.coalesce("_only", F.lit(False)) & ~F.col("rel").rlike(_ROOT.pattern)
+    """``files`` with ``test_only``: below tests or benches, a manifest's test target, or in the module graph but not reached by production."""
+    edges = graph.checkpointed(module_edges(files))  # read by each round
+    targets = graph.checkpointed(test_targets(files))
+    rust = F.col("rel").rlike(_ROOT.pattern) & ~F.col("rel").rlike(_TEST.pattern)
+    roots = files.where(rust).select(F.col("rel").alias("node")).join(targets, "node", "left_anti")
+    only = graph.test_only(roots, edges).union(targets).distinct().select(F.col("node").alias("_node"), F.lit(True).alias("_only"))
+    named = targets.select(F.col("node").alias("_target"), F.lit(True).alias("_named"))
+    out = files.join(only, F.col("rel") == F.col("_node"), "left").join(named, F.col("rel") == F.col("_target"), "left")
+    reached = F.coalesce("_only", F.lit(False)) & (~F.col("rel").rlike(_ROOT.pattern) | F.coalesce("_named", F.lit(False)))
     return out.withColumn("test_only", reached | F.col("rel").rlike(_TEST.pattern)).select(*files.columns)

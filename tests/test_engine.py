@@ -569,3 +569,14 @@ def test_msrv_of_members(text_, n):
 @pytest.mark.parametrize(("tool", "rel", "n"), [("gcc", "build.rs", 0), ("make", "build.rs", 1), ("make", "crates/zip-sys/build.rs", 0), ("protoc", "crates/zip-sys/build.rs", 1), ("git", "build.rs", 1), ("make", "src/lib.rs", 0)])
 def test_tools_of_build_scripts(tool, rel, n):
     assert len(found("rust_build_rs_external_tool", f'fn main() {{ let _ = std::process::Command::new("{tool}").status(); }}\n', rel)) == n
+
+
+def test_targets_that_manifests_name_are_tests(spark):
+    from corposieve.sources import modules
+
+    files = _files(spark, [
+        ("a/Cargo.toml", '[package]\nname = "a"\n\n[[test]]\nname = "t"\npath = "checks/t.rs"\n\n[[bench]]\nname = "b"\npath = "src/bin/b.rs"\n'), ("a/src/lib.rs", "mod m;\n"), ("a/src/m.rs", ""),
+        ("a/checks/t.rs", "mod deep;\n"), ("a/checks/t/deep.rs", ""), ("a/src/bin/b.rs", ""), ("b/Cargo.toml", "[broken"),
+    ])
+    got = {r.rel for r in modules.classify(files).collect() if r.test_only}
+    assert got == {"a/checks/t.rs", "a/checks/t/deep.rs", "a/src/bin/b.rs"}
