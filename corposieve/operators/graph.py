@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_SHARED = 5
+#: A side of a join is broadcast only if it was measured to have no more bytes than this.
+BROADCAST_BYTES = 32 << 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -32,27 +34,47 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def similar_pairs(items: DataFrame, percent: int = 85, key: str = "key", shingles: str = "shingles", digest: str = "digest") -> DataFrame:
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, marked for a broadcast if its rows are measured to have ``BROADCAST_BYTES`` at most."""
+    width = F.octet_length(F.to_json(F.struct(*df.columns))) + 24
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def similar_pairs(items: DataFrame, percent: int = 85, key: str = "key", shingles: str | Column = "shingles", digest: str | Column = "digest") -> DataFrame:
     """Pairs of items whose shingle sets are alike: ``left_key, right_key, shared, kind``.
 
     ``exact``: equal digests; ``near``: ``100 * shared >= percent * union``; both share at least
     ``max(5, a tenth of the smaller set)``. Items with equal digests form a class: each is paired with the class's
     first (``exact``), and the first stands for them in near pairs. So no link between different items is lost, and
-    no class is expanded into all pairs.
-
-    Plan: only shingles that two classes or more have can match, so a set with fewer of these than it needs (``need``)
-    goes before anything is joined. Of the others, sets that meet the bound must share one of their rarest
+    no class is expanded into all pairs. ``items`` is read twice; where ``shingles`` is an expression, the second time
+    it is worked out for those alone that may have a pair.
+
+    Plan: sets that meet the bound share at least ``need``, so each lacks ``lack = n - need`` shingles of the other at
+    most. Of each set its first ``2 * lack + 1`` shingles by hash, its head, are laid side by side: of the first shared ones
+    as many as ``lack + 1`` of the smaller set are in both heads, and a set with fewer that another head has, too, goes. Of
+    the others, only shingles that two classes or more have can match, so a set with fewer of these than ``need``
+    goes before anything is joined. Of what is left, sets must share one of their rarest
     ``size - need + 1`` shingles (those that no other has come first, so that the rest of that prefix is short), at places
     that leave enough shingles behind them. Frequent shingles meet no one.
     """
-    sets = items.select(F.col(key).alias("key"), F.array_distinct(shingles).alias("s"), F.col(digest).alias("digest")).where(F.size("s") >= MIN_SHARED)
-    sets = checkpointed(sets)  # shingles are made once, though several branches read them
-    firsts = sets.groupBy("digest").agg(F.min("key").alias("rep"))
-    classes = sets.join(firsts.select(F.col("rep").alias("key"), "digest"), ["key", "digest"], "left_semi").select(F.col("key").alias("rep"), "s")
+    need = lambda n: F.ceil(n * percent / 100)
+    lack = lambda n: n - need(n)
+    head = lambda s: F.struct(F.size(s).alias("n"), F.slice(s, F.lit(1), F.least(F.size(s), 2 * lack(F.size(s)) + 1).cast("int")).alias("head"))
+    digest = F.col(digest) if isinstance(digest, str) else digest
+    heads = F.filter(F.transform(F.array(F.sort_array(F.array_distinct(shingles))), head), lambda x: x["n"] >= MIN_SHARED)  # an array, so that shingles are made once
+    heads = checkpointed(items.select(F.col(key).alias("key"), digest.alias("digest"), F.xxhash64(digest).alias("d"), F.inline(heads)))
+    firsts = heads.groupBy("digest").agg(F.min("key").alias("rep"))
+    copies = checkpointed(heads.select("key", "digest", "d", "n").join(firsts, "digest").where("key != rep").select("key", "d", "rep", "n"))
+    reps = heads.drop("digest").join(_few(copies.select("key", "d")), ["key", "d"], "left_anti")
+    met = reps.select("key", F.explode("head").alias("g")).withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("df > 1")
+    met = met.groupBy("key").agg(F.count("*").alias("m")).join(reps.select("key", "d", "n"), "key")
+    near = checkpointed(met.where(F.col("m") >= F.least(lack(need(F.col("n"))) + 1, need(F.col("n")))).select(F.col("key").alias("_key"), F.col("d").alias("_d")))
+    own = items.join(_few(near), (F.col(key) == F.col("_key")) & (F.xxhash64(digest) == F.col("_d")), "left_semi")
+    classes = checkpointed(own.select(F.col(key).alias("rep"), F.array_distinct(shingles).alias("s")))
     flat = classes.select("rep", F.size("s").alias("n"), F.explode("s").alias("g"))
     common = flat.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     kept = checkpointed(flat.join(common, "g"))
-    need = F.ceil(F.col("n") * percent / 100)
+    need = need(F.col("n"))
     alive = kept.groupBy("rep", "n").agg(F.count("*").alias("m")).where(F.col("m") >= need).select("rep", "m")
     ranked = kept.join(alive, "rep").withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("df", "g")))
     prefix = ranked.where(F.col("k") <= F.col("m") - need + 1).select("rep", "n", "g", (F.col("m") - F.col("k")).alias("left"))
@@ -69,7 +91,6 @@ def similar_pairs(items: DataFrame, percent: int = 85, key: str = "key", shingle
     floor = F.greatest(F.lit(MIN_SHARED), F.ceil(F.least(F.size("su"), F.size("sv")) / 10))
     near = full.where((shared >= floor) & (100 * shared >= percent * union)).select("u", "v", shared.alias("shared"))
     other = near.select(F.col("u").alias("left_key"), F.col("v").alias("right_key"), "shared", F.lit("near").alias("kind"))
-    copies = sets.select("key", "digest", F.size("s").alias("n")).join(firsts, "digest").where("key != rep")
     return other.union(copies.select(F.col("rep").alias("left_key"), F.col("key").alias("right_key"), F.col("n").alias("shared"), F.lit("exact").alias("kind")))
 
 

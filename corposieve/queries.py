@@ -65,8 +65,7 @@ def near_dup_shingle_jaccard(spark, d):
     docs = corpus.spread(_t(spark, d, "documents"), "doc_id")
     words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     grams = F.transform(text.n_grams(words, 5), lambda g: F.xxhash64(g))
-    items = docs.select("doc_id", grams.alias("shingles"), F.md5(F.col("text").cast("binary")).alias("digest"))
-    return graph.similar_pairs(items, 85, "doc_id")
+    return graph.similar_pairs(docs.select("doc_id", "text"), 85, "doc_id", grams, F.md5(F.col("text").cast("binary")))
 
 
 def exact_clone_groups(spark, d):

@@ -510,6 +510,49 @@ def test_similar_pairs_by_brute_force(spark):
         assert {tuple(r) for r in got.collect()} == want
 
 
+def test_similar_pairs_moves_heads_of_sets_that_none_resembles(spark, monkeypatch):
+    import random
+
+    rng, rows, values, written = random.Random(9), [], [], graph.checkpointed
+    for _ in range(300):
+        s = rng.sample(range(10**9), 100)
+        rows.append((len(rows), s, str(s)))
+    rows += [(300, rows[7][1][:93] + [-1, -2], "near"), (301, rows[8][1], rows[8][2])]
+
+    def noted(df):
+        out = written(df)
+        values.append(sum(r[0] for r in out.select(sum((F.size(c) if t.startswith("array") else F.lit(1) for c, t in out.dtypes), F.lit(0))).collect()))
+        return out
+
+    monkeypatch.setattr(graph, "checkpointed", noted)
+    got = graph.similar_pairs(spark.createDataFrame(rows, "key long, shingles array<long>, digest string"), 85)
+    assert {tuple(r) for r in got.collect()} == {(7, 300, 93, "near"), (8, 301, 100, "exact")}
+    assert sum(values) < 0.5 * 100 * len(rows)
+
+
+def test_similar_pairs_at_the_bound(spark):
+    """Pairs that share exactly what they must, or one less, at low and high percentages; the same key may come with two digests."""
+    import random
+
+    rng = random.Random(3)
+    for percent in (1, 35, 85, 97):
+        rows, want = [], set()
+        for k in range(0, 80, 2):
+            n, m = rng.randrange(5, 120), rng.randrange(5, 120)
+            least = max(5, -(-min(n, m) // 10), -(-percent * (n + m) // (100 + percent)))  # 100 c >= percent (n + m - c)
+            c = least - rng.randrange(2)
+            if c < 0 or c > min(n, m):
+                continue
+            pool = rng.sample(range(10**12), n + m - c)
+            rows += [(k, pool[:n], f"a{k}"), (k + 1, pool[n - c :], f"b{k}")]
+            if c >= least:
+                want.add((k, k + 1, c, "near"))
+        rows += [(1000, list(range(20)), "x"), (1001, list(range(20)), "x"), (1001, list(range(-20, 0)), "y"), (1002, list(range(-20, 0)), "y")]
+        want |= {(1000, 1001, 20, "exact"), (1001, 1002, 20, "exact")}
+        got = graph.similar_pairs(spark.createDataFrame(rows, "key long, shingles array<long>, digest string"), percent)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_cache_tiers(spark, tmp_path, monkeypatch):
     cache = f"file://{tmp_path}/cache"
     long = "a text of more than forty characters, three times over"
