@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType
 
-from corposieve.sources.corpus import spread
+from corposieve.sources.corpus import bound_batches, spread
 
 #: A side of a join is broadcast only if its staged rows are measured to have no more bytes than this.
 BROADCAST_BYTES = 32 << 20
@@ -80,13 +80,6 @@ def clear_staged(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches for Python hold 16 MB at most, unless the session says otherwise: long texts then need no more memory."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(16 << 20))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; documents that come in fewer splits than there are cores are dealt out."""
     bound_batches(spark)

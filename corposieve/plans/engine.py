@@ -18,6 +18,7 @@ from corposieve.plans.config import Config
 from corposieve.rules.base import Registry, Rule, RustFile
 from corposieve.rules.examples import examples
 from corposieve.rules.manifests import TomlFile
+from corposieve.sources import corpus
 
 #: AST rules whose findings are of a line, not a column.
 LINE_ONLY = {"rust_wildcard_imports", "rust_unbalanced_crate_root", "rust_macro_hidden_items"}
@@ -66,8 +67,10 @@ def analyze(files: DataFrame, registry: Registry, config: Config, only: list[str
     rules = [r for r in registry.rules.values() if (only is None or r.id in only) and config.rules[r.id].enabled and r.kind in ("rust-ast", "rust-line", "toml")]
     known, columns = set(registry.rules), ["rel", "line", "column", "rule", "message", "fixable"]
 
+    corpus.bound_batches(files.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in corpus.pieces(batches):
             out = []
             for rel, ext, text, package, test_only in zip(*(batch[c] for c in ("rel", "ext", "contents", "package", "test_only")), strict=True):
                 mine = [r for r in rules if config.applies(r.id, rel)]

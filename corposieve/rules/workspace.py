@@ -14,6 +14,7 @@ from corposieve.functions.globs import matches_any
 from corposieve.operators import graph
 from corposieve.rules.base import RustFile, in_test, owner, rule
 from corposieve.rules.manifests import TomlFile, dependencies, leaves_root
+from corposieve.sources import corpus
 
 RECORDS = (
     "rel string, functions array<struct<name:string,line:int,tokens:int,digest:string,shingles:array<bigint>,params:array<struct<name:string,type:string>>,calls:array<array<string>>>>, "
@@ -55,11 +56,12 @@ def rust_records(f: RustFile) -> dict:
 
 
 def records(files: DataFrame) -> DataFrame:
-    """Nested records of Rust sources and Cargo manifests, one row a file that parses; each file is parsed once."""
+    """Nested records of Rust sources and Cargo manifests, one row a file that parses; each file is parsed once, and a piece of a batch is in memory."""
+    corpus.bound_batches(files.sparkSession)
     columns = ["rel", "functions", "strings", "structs", "roots", "package", "deps"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in corpus.pieces(batches):
             rows = []
             for rel, ext, text in zip(batch["rel"], batch["ext"], batch["contents"], strict=True):
                 if ext == "rs":

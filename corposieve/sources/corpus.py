@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import subprocess
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from corposieve.functions.text import split_lines
 from corposieve.model import FILES
 
 IGNORE_FILES = (".gitignore", ".corposieveignore")
+#: Characters of sources that a Python worker parses before it hands on what it found.
+PIECE = 1 << 20
 
 
 def from_table(df: DataFrame, key: str, text: str, ext: str = "txt") -> DataFrame:
@@ -127,6 +131,25 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(2 * cores, *by) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches for Python hold 16 MB at most, unless the session says otherwise: long texts then need no more memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(16 << 20))
+
+
+def pieces(batches: Iterator[pd.DataFrame], text: str = "contents") -> Iterator[pd.DataFrame]:
+    """Batches of rows cut where about ``PIECE`` characters of ``text`` are full.
+
+    What is made of a piece is thrown away before the next: trees of sources point back at themselves, so the collector must be called.
+    """
+    for batch in batches:
+        full = batch[text].map(lambda t: len(t) if t else 0).cumsum() // PIECE
+        for _, piece in batch.groupby(full, sort=False):
+            yield piece
+            gc.collect()
+
+
 def with_package(files: DataFrame, packages: DataFrame) -> DataFrame:
     """Give each file the package whose root is its longest path prefix; ``packages``: name, root, publishable.
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+import weakref
 from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from corposieve import cli
 from corposieve.functions import globs, text
@@ -379,6 +381,48 @@ def test_workspace_duplicates_looks_at_every_line(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(f"f{i:012d}.rs", 3) for i in (1, 2)]
 
 
+def test_sources_are_parsed_in_pieces(spark, monkeypatch):
+    import pandas as pd
+
+    import corposieve.rules.workspace as ws
+
+    # what the workers run is got hold of and run here, over one large batch
+    texts = ["//! F.\n\nfn f() {\n" + '    g("a text");\n' * 4000 + "}\n"] * 60
+    batch = pd.DataFrame({"rel": [f"src/f{i}.rs" for i in range(60)], "ext": "rs", "contents": texts, "package": None, "test_only": False})
+    got = []
+    monkeypatch.setattr(DataFrame, "mapInPandas", lambda self, f, schema: got.append(f) or self)
+    files = _files(spark, [("src/f.rs", texts[0])])
+    ws.records(files)
+    engine.analyze(files, REG, conf.default(REG), ["rust_println"], raw=True)
+    monkeypatch.undo()
+    assert len(got) == 2 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    alive, parse = [], ws.RustFile
+    refs = []
+
+    def parsed(*a):
+        f = parse(*a)
+        refs.append(weakref.ref(f))
+        return f
+
+    monkeypatch.setattr(ws, "RustFile", parsed)
+    rows = []
+    for out in got[0](iter([batch])):
+        rows += out["rel"].tolist()
+        alive.append(sum(r() is not None for r in refs))
+    assert rows == batch["rel"].tolist()
+    assert len(alive) > 3 and max(alive) < 40
+    assert len(list(got[1](iter([batch])))) > 3
+
+
+def test_pieces_keep_all_rows(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(corpus, "PIECE", 10)
+    batches = [pd.DataFrame({"contents": x, "n": range(len(x))}) for x in (["a" * 7] * 5 + [None, "", "b" * 95, "c"], [], [None, None])]
+    got = [p["n"].tolist() for p in corpus.pieces(iter(batches))]
+    assert got == [[0], [1], [2, 3], [4, 5, 6], [7, 8], [0, 1]] and sum(map(len, got)) == 11
+
+
 def test_suppressions_and_graph_take_whole_tables(spark, tmp_path):
     from corposieve import queries
 
