@@ -44,7 +44,7 @@ class Config:
         for globs, values in c.overrides:
             if _any(rel, globs):
                 out |= values
-        for scope in dict.fromkeys((None, package)):
+        for scope in dict.fromkeys((None, package)) if rule.id in self.discovered else ():
             for k, more in self.discovered.get(rule.id, {}).get(scope, {}).items():
                 out[k] = list(dict.fromkeys([*out[k], *more]))
         return out

@@ -381,6 +381,31 @@ def test_workspace_duplicates_looks_at_every_line(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(f"f{i:012d}.rs", 3) for i in (1, 2)]
 
 
+def test_rules_over_functions_take_time_in_proportion():
+    import time
+
+    source = "//! F.\n\n" + "".join(f"fn f{i}_x(a: u8, b: u16) {{}}\n" + "\n" * (i % 2) for i in range(6000)) + "fn last_x(b: u16, a: u8) {}\n"
+    f, config = RustFile(source, "src/f.rs"), conf.default(REG, everything=True)
+    rules, began = [REG.rules[k] for k in ("rust_padding", "rust_param_order_consistency")], time.thread_time()
+    found = [(x[3], x[1]) for x in engine.file_findings(f, rules, lambda r: dict(r.params))]
+    assert time.thread_time() - began < 2  # seconds; comparing all functions with all took over ten times that
+    assert found == [("rust_padding", 3 * i + 4) for i in range(3000)] + [("rust_param_order_consistency", 9003)]
+
+
+def test_param_order_names_the_first_function():
+    source = "fn a_x(p: u8) {}\n\nfn b_x(p: u8, q: u8) {}\n\nfn c_x(p: u8, q: u8) {}\n\nfn d_x() {}\n\nfn e_x(q: u8, p: u8) {}\n\nfn f_x(p: u8, q: u8) {}\n"
+    found = list(REG.rules["rust_param_order_consistency"].check(RustFile(source), {}))
+    assert [(n.name, m) for n, m in found] == [("e_x", "`e_x` and `b_x` order their parameters differently"), ("f_x", "`f_x` and `e_x` order their parameters differently")]
+
+
+def test_words_signs_and_spaces_are_tokens():
+    from corposieve.syntax.lexer import tokenize
+
+    got = [(t.kind, t.text) for t in tokenize("b'x' r#fn\u3000..=<<=\x1cé_1 crate b\"s\" 1..2 x.0/=y")[0]]
+    kinds = "char ident punct punct ident ident str num punct num ident punct num punct ident".split()
+    assert got == list(zip(kinds, ["b'x'", "r#fn", "..=", "<<=", "é_1", "crate", 'b"s"', "1", "..", "2", "x", ".", "0", "/=", "y"], strict=True))
+
+
 def test_sources_are_parsed_in_pieces(spark, monkeypatch):
     import pandas as pd
 
